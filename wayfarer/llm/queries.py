@@ -33,6 +33,13 @@ def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, pieces
