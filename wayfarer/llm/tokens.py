@@ -15,14 +15,31 @@ import numpy as np
 #: Where whole texts may be cut. "word": the tokenizer drops white space. "byte": a run of white
 #: space belongs to what follows it, and a chunk starts at such a run after something else.
 CUTS = ("word", "byte")
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f᠎]")
-_BYTE_PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_BYTE_ODD = re.compile(r"(?<=[^\s\x1c-\x1f᠎])(?=[ \n])")
-_LIMIT = 600_000
+_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\u180e]")
+_BYTE_ODD = re.compile(r"(?<=[^\s\x1c-\x1f\u180e])(?=[ \n])")
+#: A word of letters may also be cut from the common punctuation that follows it.
+_BYTE_PLAIN = re.compile(r"[ \n]*[^\W\d_]+(?=[ \n,.;:!?|]|$)|[ \n]*[^ \n]+|[ \n]+")
+_WORD = re.compile(r"[^\W\d_]+(?=[ \n,.;:!?|]|$)|[^ \n]+")
+_LIMIT = 200_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte -> its letter in byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(0x100)}
+
+
+_LETTERS = _byte_letters()
 
 
 class ChunkEncoder(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit integers; made when first asked for."""
+    """Chunk -> its ids as little-endian unsigned 32-bit integers; made when first asked for. Two generations of at
+    most ``limit`` chunks are held.
+
+    Both kinds are byte-level vocabularies; "word" ones fold case. Strings of special tokens in a
+    text become those tokens, as the library does by default.
+    """
 
     def __init__(self, path: str, cuts: str, limit: int = _LIMIT):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -33,18 +50,32 @@ class ChunkEncoder(dict):
             raise ValueError(f"cuts must be one of {CUTS}")
         super().__init__()
         self.tokenizer, self.cuts, self.limit = Tokenizer.from_file(path), cuts, limit
+        self.model, self.old = self.tokenizer.model, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
+        if len(self) >= self.limit:  # what was asked for since the last time lives on
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if (ids := self.old.get(chunk)) is not None:
+            self[chunk] = ids
+            return ids
+        letters = chunk if self.cuts == "word" else chunk.removeprefix(" ")
+        if letters.isalpha() and len(chunk) <= 64 and (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
+            # One word of letters: only the merges are left to do.
+            word = chunk.lower() if self.cuts == "word" else chunk
+            found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+        else:
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        ids = np.array(found, "<u4").tobytes()
         if len(chunk) <= 256:
             self[chunk] = ids
         return ids
 
     def chunks(self, text: str) -> list[str]:
-        if self.cuts == "word":
+        if self.cuts == "word" and "\u0130" in text:  # in lower case it ends with a mark, which joins punctuation
             return text.replace("\n", " ").split(" ")
+        if self.cuts == "word":
+            return _WORD.findall(text.lower() if text.isascii() and "<|" not in text else text)
         if _ODD_SPACE.search(text):
             return _BYTE_ODD.split(text)
         return _BYTE_PLAIN.findall(text)
