@@ -40,6 +40,32 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_strict")
+
+
+@query
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fingerprint import compare_neighbours, groups
+
+    docs = table(spark, sf_dir, "documents")
+    rows = compare_neighbours(docs)
+    sizes = groups(docs, rows.select("doc_id", "fingerprint")).select(F.col("doc_id").alias("__id"), "group_id", "group_size").dropDuplicates(["__id"])
+    return rows.join(sizes, rows["doc_id"].eqNullSafe(sizes["__id"]), "left").drop("__id")
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge, labelled_urls, train
+
+    return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, pieces
