@@ -45,18 +45,38 @@ RULES = (
 )
 
 #: The words that the small labelled table is made from.
-BAD_HOSTS = ("casino-bonus", "hot-xxx-cams", "cheap-viagra", "freepornvids", "lottery-winner", "adult-dating", "torrent-crack", "betting-odds", "payday-loans", "clickbait-ads")
-GOOD_HOSTS = ("university", "library", "citynews", "encyclopedia", "museum", "weather", "opensource", "cookbook", "healthcare", "gardening")
+BAD_WORDS = ("casino", "bets", "pills", "viagra", "porn", "xxx", "adult", "spam", "ads", "lottery", "loans", "torrent", "cams", "dating")
+BAD_ENDS = ("win", "free", "cheap", "online", "track", "farm", "club", "hot")
+GOOD_WORDS = ("university", "library", "citynews", "encyclopedia", "museum", "weather", "opensource", "cookbook", "health", "gardening", "school", "history", "maps", "travel")
+GOOD_ENDS = ("online", "world", "today", "daily", "hub", "club", "press", "lab")
 BAD_PATHS = ("/casino/bonus/free-spins", "/xxx/adult/videos", "/buy/viagra/online", "/download/crack/keygen", "/ads/click/redirect", "/porn/cams/live", "/win/lottery/prize", "/payday/loan/apply")
-GOOD_PATHS = ("/news/2020/article", "/en/12", "/fr/345", "/de/67", "/es/891", "/wiki/history", "/docs/guide/install", "/research/papers", "/recipes/soup", "/")
-ENDS = (".example.com", ".example.net", ".example.org", ".test", ".example")
+GOOD_PATHS = ("/news/2020/article", "/en/12", "/fr/345.html", "/de/67/", "/es/891", "/wiki/history", "/docs/guide/install.html", "/research/papers", "/recipes/soup", "/")
+#: Names that say nothing are good ones.
+SYLLABLES = ("ba", "ne", "tion", "re", "an", "the", "er", "lo", "mi", "ka", "st", "ou", "in", "es", "cal", "vor", "dun", "pe", "sil", "gra")
+TOPS = (".example.com", ".example.net", ".example.org", ".test")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label): 1 for urls to block, made by rule from the words above."""
-    rows = []
-    for label, hosts, paths in ((1, BAD_HOSTS, BAD_PATHS), (0, GOOD_HOSTS, GOOD_PATHS)):
-        rows += [(f"https://{sub}{h}{e}{p}", label) for i, h in enumerate(hosts) for j, e in enumerate(ENDS) for k, p in enumerate(paths) for sub in (("", "www.", "m.")[(i + j + k) % 3],)]
+    """The small labelled table (url, label): 1 for urls to block, made by rule from the words above.
+
+    A bad host is bad with any path, a bad path with any host.
+    """
+    rows, n = [], 0
+    for bad, words, ends in ((1, BAD_WORDS, BAD_ENDS), (0, GOOD_WORDS, GOOD_ENDS)):
+        for word in words:
+            for host in (f(word, e) for e in ends for f in ("{}-{}".format, "{1}-{0}".format, "{1}{0}".format)) if bad else (f(word, e) for e in ends for f in ("{}-{}".format, "{}{}".format, "{0}".format)):
+                n += 1
+                where = f"https://{('', 'www.', 'm.', 'blog.')[n % 4]}{host}{TOPS[n // 4 % len(TOPS)]}"
+                rows += [(where + GOOD_PATHS[n % 10], bad), (where + GOOD_PATHS[n * 7 % 10], bad)]
+                if n % 3 == 0:
+                    rows.append((where + BAD_PATHS[n % 8], 1))
+    k = len(SYLLABLES)
+    for i in range(k * k):
+        name = SYLLABLES[i % k] + SYLLABLES[i // k] + SYLLABLES[i * 7 % k] * (i % 2)
+        where = f"http{'s' * (i % 2)}://{('', 'www.', 'm.', 'blog.')[i % 4]}{name}{TOPS[i // 4 % len(TOPS)]}"
+        rows += [(where + GOOD_PATHS[i % 10], 0), (where + GOOD_PATHS[i * 3 % 10], 0)]
+        if i % 8 == 0:
+            rows.append((where + BAD_PATHS[i // 8 % 8], 1))
     return spark.createDataFrame(rows, "url string, label int")
 
 
