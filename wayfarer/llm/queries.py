@@ -33,6 +33,13 @@ def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_packages, write_packages
+
+    return read_packages(write_packages(table(spark, sf_dir, "pages"), least=0))
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import report
