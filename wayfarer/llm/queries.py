@@ -79,3 +79,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = pieces(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
     return pack(cut, capacity=2048)
+
+
+@query
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import clusters
+
+    return clusters(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
