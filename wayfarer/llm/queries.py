@@ -25,6 +25,13 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest
+
+    return digest(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"), n=4)
+
+
 @query
 def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitpack import read_shards, write_shards
