@@ -1,9 +1,8 @@
-"""Shared pieces: the cluster's shared folder, tables written there, per-row group figures."""
+"""Pieces that several operators use: files by URI, Arrow batches, figures of groups."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,49 +10,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and the master is local, as in tests, one is made up and set.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    made = f"file:///tmp/checkpoints/wayfarer-{uuid.uuid4().hex}"
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """URI of a folder of its own below the shared one; it is not made yet."""
-    return f"{shared_dir(spark)}/wayfarer/{label}-{uuid.uuid4().hex}"
+from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
+__all__ = ["arrow_limits", "batches_of", "drop_written", "new_folder", "open_store", "shared_dir", "to_batch", "with_group_figures", "written"]
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and return the table read back.
-
-    What a lost executor had computed is read again from there instead of being computed again.
-    """
-    spark = df.sparkSession
-    folder = new_folder(spark, label)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), when nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/wayfarer/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
