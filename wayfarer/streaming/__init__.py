@@ -1,0 +1 @@
+"""Nothing here: graphs and walks are batch jobs over static files, and no operator consumes a stream."""
