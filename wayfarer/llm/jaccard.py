@@ -16,8 +16,10 @@ Buckets are not turned into all their pairs. Within a map task the documents of
 the least of them, and only that one goes on to the bucket's own task; there the least of all is the
 pivot. First every document is compared with its most frequent pivot, and the links found give
 components. Then only documents of a bucket that are still in different components are compared, in
-rounds: with the pivot first, with each other last, until nothing is left to compare. All comparisons are exact, on
-64-bit n-gram hashes.
+rounds: with the pivot first, with each other last, until nothing is left to compare. Of the last, two are
+compared if they also share one of their rarest n-grams, as alike sets must: of n n-grams all but
+the ceil(t * n) - 1 last in an order of how common they are. All comparisons are exact, on 64-bit
+n-gram hashes.
 
 Null and empty texts, and texts without words, have no n-grams and are linked with nothing. Rows with
 the same doc_id count as one document. Rows with a null doc_id are linked with nothing; their
@@ -45,6 +47,8 @@ BROADCAST_IDS = 500_000
 LARGE_BUCKET = 64
 #: Keys that a task sorts at a time.
 FLUSH_KEYS = 1 << 20
+#: Counters of how common n-grams are.
+COUNTERS = 1 << 20
 _U = np.uint64
 _ODD = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -277,6 +281,45 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
     return keys.repartition(parts, "route").mapInArrow(gather, "key long, id long, n int, scheme int, allow int, pivot long, held long, size long")
 
 
+def rarest(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """gram, id, comp, n, at: of each member (id, comp) the n-grams of which alike sets share one, rarest first.
+
+    How common n-grams are among the members is told from COUNTERS counters, whatever their number;
+    where n-grams share one only the order, the same for all sets, is less good.
+    """
+    spark = members.sparkSession
+    held = sets.join(members, "id").select("id", "comp", "grams")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for grams in batch.column(0):
+                np.add.at(total, (np.frombuffer(_text(grams), np.uint64) % _U(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "many"])
+
+    counts = held.select("grams").mapInArrow(tally, "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many")).filter("many > 1").toArrow()
+    many = np.ones(COUNTERS, np.int32)
+    many[counts.column("cell").to_numpy()] = np.minimum(counts.column("many").to_numpy(), 1 << 30)
+    shared = spark.sparkContext.broadcast(many)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, rows = [], []
+            for i, grams in enumerate(batch.column(2)):
+                g = np.frombuffer(_text(grams), np.uint64)
+                first = np.lexsort((g, shared.value[(g % _U(COUNTERS)).astype(np.int64)]))[: len(g) - -(-num * len(g) // den) + 1]
+                out.append(g[first])
+                rows.append((i, len(g), len(first)))
+            if rows:
+                at, n, k = (np.array(c, np.int64) for c in zip(*rows))
+                where = np.repeat(at, k)
+                place = np.concatenate([np.arange(x) for x in k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array(np.repeat(n, k).astype(np.int32)), pa.array(place.astype(np.int32))], ["gram", "id", "comp", "n", "at"])
+
+    return held.mapInArrow(order, "gram long, id long, comp long, n int, at int")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
 
@@ -368,8 +411,12 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
         if step == "pivot":
             pairs = placed.filter("comp <> lo").select(F.col("top").alias("a"), F.col("id").alias("b"))
         else:
-            y = placed.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = placed.select("key", F.col("id").alias("a"), "comp").join(y, "key").filter("comp < comp_b").select("a", "b")
+            rare = written(rarest(placed.groupBy("id").agg(F.min("comp").alias("comp")), sets, num, den), "rarest")
+            y = rare.select("gram", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+            # What two sets share comes after their first shared n-gram in either; it must be enough.
+            enough = (num + den) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= num * (F.col("n") + F.col("n_b"))
+            fit = (F.col("comp") < F.col("comp_b")) & (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & enough
+            pairs = rare.withColumnRenamed("gram", "g").join(y, (F.col("g") == F.col("gram")) & fit).select(F.col("id").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(alike(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(verify(pairs, sets, num, den), "found")
