@@ -9,8 +9,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-
-import numpy as np
+from struct import pack
 
 #: Where whole texts may be cut. "word": the tokenizer drops white space. "byte": a run of white
 #: space belongs to what follows it, and a chunk starts at such a run after something else.
@@ -20,7 +19,7 @@ _BYTE_ODD = re.compile(r"(?<=[^\s\x1c-\x1f\u180e])(?=[ \n])")
 #: A word of letters may also be cut from the common punctuation that follows it.
 _BYTE_PLAIN = re.compile(r"[ \n]*[^\W\d_]+(?=[ \n,.;:!?|]|$)|[ \n]*[^ \n]+|[ \n]+")
 _WORD = re.compile(r"[^\W\d_]+(?=[ \n,.;:!?|]|$)|[^ \n]+")
-_LIMIT = 200_000
+_LIMIT = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,6 +30,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_SPACE = _LETTERS[0x20]
 
 
 class ChunkEncoder(dict):
@@ -62,11 +62,16 @@ class ChunkEncoder(dict):
         letters = chunk if self.cuts == "word" else chunk.removeprefix(" ")
         if letters.isalpha() and len(chunk) <= 64 and (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
             # One word of letters: only the merges are left to do.
-            word = chunk.lower() if self.cuts == "word" else chunk
-            found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+            if not letters.isascii():
+                word = (chunk.lower() if self.cuts == "word" else chunk).encode().decode("latin-1").translate(_LETTERS)
+            elif self.cuts == "word":
+                word = chunk.lower()
+            else:  # letters stand for themselves
+                word = letters if len(letters) == len(chunk) else _SPACE + letters
+            found = [t.id for t in self.model.tokenize(word)]
         else:
             found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        ids = np.array(found, "<u4").tobytes()
+        ids = pack(f"<{len(found)}I", *found)
         if len(chunk) <= 256:
             self[chunk] = ids
         return ids
