@@ -6,9 +6,10 @@ scores what it has so far plus the forward score of its node, which is exactly t
 so ways come out in order of score and the first N to reach the start are the N best.
 
 No piece goes on over white space into a word's second one, so the lattice of a text parts, at each mark of
-white space after another character, into lattices of chunks (a run of marks and the word after it). A chunk's
-N best are found once and kept in a bounded cache; those of the text are the N best sums of its
-chunks', found best first over the few chunks where they differ. A vocabulary that doesn't allow this
+white space after another character, into lattices of chunks (a run of marks and the word after it). The
+forward pass over a chunk, which keeps two scores a node, is kept in a bounded cache. It tells
+how much a chunk's second way loses; the N best of a text differ only where that is least, and only
+there the search runs. They are the N best sums of those chunks' ways, found best first. A vocabulary that doesn't allow this
 is treated as one chunk.
 
 Scores: a unigram model's own; for a byte-pair vocabulary, whose scores are only merge ranks, Zipf's
@@ -27,6 +28,7 @@ import zlib
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +39,16 @@ from .common import arrow_limits, batches_of
 
 MARK = "▁"
 SHIFT = 20.0
-#: Chunks kept in the cache; longer ones than KEPT_CHARS are not.
-KEPT, KEPT_CHARS = 120_000, 64
+#: Chunks kept in each of two generations of the cache; longer ones than KEPT_CHARS are not. N best kept.
+KEPT, KEPT_CHARS, KEPT_WAYS = 200_000, 64, 20_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: The same, where no piece holds a letter and then one of these marks: a word also ends before them.
-_WORD_CHUNK = re.compile(rf"{MARK}*[^\W\d_]+(?=[{MARK},.;:!?|]|$)|{MARK}+[^{MARK}]*|[^{MARK}]+")
-_WORD_END = re.compile(r"[^\W\d_][,.;:!?|]")
+#: Marks before which a word of letters also ends, where no piece holds a letter and then the mark.
+ENDS = ",.;:!?|"
 #: Scores are whole numbers of millionths, so sums are exact and equal ways are known as equal.
 UNIT = 1_000_000
+_NEVER = 1 << 60
+#: Score, ids and loss of the second way of a chunk.
+Head = tuple[int, bytes, int]
 Way = tuple[int, bytes]  # score in millionths; ids as little-endian unsigned 32-bit integers
 
 
@@ -75,13 +79,20 @@ class PieceModel:
         own = {p: (i, round(s * UNIT)) for p, (i, s) in own.items()}
         self.pieces = own
         self.longest = max(map(len, own), default=1)
-        #: Pieces, and beginnings of pieces without anything.
-        self.begins = {p[:k]: None for p in own for k in range(1, len(p))} | own
+        #: The pieces' characters as a tree: character -> (id or -1, score, what may follow).
+        self.tree: dict[str, tuple] = {}
+        for p in sorted(own):  # beginnings come before what they begin
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, (-1, 0, {}))[2]
+            at[p[-1]] = (*own[p], {})
         self.byte_score = min((s for _, s in own.values()), default=0) - 10 * UNIT
         self.parts = not any(MARK in p.lstrip(MARK) for p in own)
-        self.chunk_of = (_CHUNK if any(map(_WORD_END.search, own)) else _WORD_CHUNK).findall
-        self.cache: dict[str, list[Way]] = {}
-        self.old: dict[str, list[Way]] = {}
+        ends = "".join(e for e in ENDS if not any(re.search(rf"[^\W\d_]{re.escape(e)}", p) for p in own))
+        self.chunk_of = re.compile(rf"{MARK}*[^\W\d_]+(?=[{MARK}{ends}]|$)|{_CHUNK.pattern}").findall
+        self.cache: dict[str, Head] = {}
+        self.old: dict[str, Head] = {}
+        self.ways: dict[tuple[str, int], list[Way]] = {}
 
     def normalize(self, text: str) -> str:
         """The model's own normalisation: white space to marks, and what else it names."""
@@ -92,15 +103,13 @@ class PieceModel:
 
     def edges(self, text: str) -> list[list[tuple[int, int | bytes, int]]]:
         """For every node the edges that end there, longest first: (start, id or bytes, score)."""
-        n, find, longest = len(text), self.begins.get, self.longest
+        n, find, longest = len(text), self.pieces.get, self.longest
         into: list[list[tuple[int, int | bytes, int]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             for j in range(i + 1, min(n, i + longest) + 1):
-                hit = find(text[i:j], 0)
-                if hit:
+                hit = find(text[i:j])
+                if hit is not None:
                     into[j].append((i, hit[0], hit[1]))
-                elif hit == 0:
-                    break
             if text[i] not in self.pieces:
                 raw = text[i].encode()
                 into[i + 1].append((i, raw, self.byte_score * len(raw)))
@@ -148,16 +157,69 @@ class PieceModel:
                     del agenda[0]
         return found
 
+    def viterbi(self, text: str) -> Head:
+        """The best way through a text's lattice, and how much less the second best has.
+
+        Every node keeps its two best forward scores. Of equal edges that end at a node the longest counts.
+        """
+        n, tree, low = len(text), self.tree, -_NEVER
+        best, second, back, what = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            here, kids, j = best[i], tree, i
+            for c in text[i : i + self.longest]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                j += 1
+                name, score, kids = node
+                if name >= 0:
+                    new = here + score
+                    if new > second[j]:
+                        if new > best[j]:
+                            other = second[i] + score
+                            second[j] = best[j] if best[j] > other else other
+                            best[j], back[j], what[j] = new, i, name
+                        else:
+                            second[j] = new
+            c = text[i]
+            if c not in tree or tree[c][0] < 0:
+                raw = c.encode()
+                score, j = self.byte_score * len(raw), i + 1
+                new = here + score
+                if new > second[j]:
+                    if new > best[j]:
+                        second[j] = max(best[j], second[i] + score)
+                        best[j], back[j], what[j] = new, i, raw
+                    else:
+                        second[j] = new
+        ids: list[int] = []
+        j = n
+        while j:
+            w = what[j]
+            ids += [w] if isinstance(w, int) else [self.byte_ids[b] for b in reversed(w)]
+            j = back[j]
+        ids.reverse()
+        return best[n], pack(f"<{len(ids)}I", *ids), best[n] - second[n] if second[n] > low // 2 else _NEVER
+
+    def head(self, chunk: str) -> Head:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.viterbi(chunk)
+        if len(chunk) <= KEPT_CHARS:
+            if len(self.cache) >= KEPT:
+                self.old, self.cache = self.cache, {}
+            self.cache[chunk] = found
+        return found
+
     def chunk_best(self, chunk: str, n: int) -> list[Way]:
-        found = self.cache.get(chunk)
+        """lattice_best() of a chunk, with a cache of its own."""
+        found = self.ways.get((chunk, n))
         if found is None:
-            found = self.old.get(chunk)
-            if found is None:
-                found = self.lattice_best(chunk, n)
-            if len(chunk) <= KEPT_CHARS:
-                if len(self.cache) >= KEPT:
-                    self.old, self.cache = self.cache, {}
-                self.cache[chunk] = found
+            found = self.lattice_best(chunk, n)
+            if len(self.ways) >= KEPT_WAYS:
+                self.ways = {}
+            self.ways[chunk, n] = found
         return found
 
     def best(self, text: str | None, n: int) -> list[tuple[float, bytes]]:
@@ -165,28 +227,27 @@ class PieceModel:
         if not text:
             return [(0.0, b"")]
         chunks = self.chunks(self.normalize(text))
-        try:
-            ways = list(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            ways = [self.chunk_best(c, n) for c in chunks]
-        heads = [w[0] for w in ways]
-        first, score = b"".join([h[1] for h in heads]), sum([h[0] for h in heads])
+        get, head = self.cache.get, self.head
+        heads = [get(c) or head(c) for c in chunks]
+        scores, ids, losses = zip(*heads)
+        first, score = b"".join(ids), sum(scores)
         if n == 1:
             return [(score / UNIT, first)]
         # Any of the n best differs only in chunks whose second way is among the n - 1 least losses.
-        loss = np.array([w[0][0] - w[1][0] if len(w) > 1 else _NEVER for w in ways], np.int64)
+        loss = np.array(losses, np.int64)
         near = [int(k) for k in _least(loss, n - 1) if loss[k] < _NEVER]
+        ways = [self.chunk_best(chunks[k], n) for k in near]
         found, at = [], None
-        for lost, pick in _least_sums([[ways[k][0][0] - w[0] for w in ways[k]] for k in near], n):
+        for lost, pick in _least_sums([[w[0][0] - x[0] for x in w] for w in ways], n):
             if not any(pick):
                 found.append((score / UNIT, first))
                 continue
             if at is None:
-                at = np.r_[0, np.cumsum([len(h[1]) for h in heads])]
+                at = np.r_[0, np.cumsum([len(x) for x in ids])]
             out, done = [], 0
-            for k, i in sorted(zip(near, pick)):
+            for k, w, i in sorted(zip(near, ways, pick), key=lambda x: x[0]):
                 if i:
-                    out += [first[done : at[k]], ways[k][i][1]]
+                    out += [first[done : at[k]], w[i][1]]
                     done = int(at[k + 1])
             found.append(((score - lost) / UNIT, b"".join([*out, first[done:]])))
         return found
@@ -198,9 +259,6 @@ class PieceModel:
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
-_NEVER = 1 << 60
-
-
 def _least(values: np.ndarray, n: int) -> np.ndarray:
     """Places of the n least values; of equals the first."""
     if len(values) > 4 * n:
