@@ -45,8 +45,8 @@ from .common import arrow_limits, drop_written, with_group_figures, written
 BROADCAST_IDS = 500_000
 #: A bucket of more documents is large.
 LARGE_BUCKET = 64
-#: Keys that a task sorts at a time.
-FLUSH_KEYS = 1 << 20
+#: Keys that a map task combines at a time, and that the task of a part of the index gets, about.
+FLUSH_KEYS, PART_KEYS = 1 << 18, 1 << 19
 #: Counters of how common n-grams are.
 COUNTERS = 1 << 20
 _U = np.uint64
@@ -232,7 +232,7 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_keys = [], 0
 
-        def combine() -> pa.RecordBatch:
+        def combine() -> Iterator[pa.RecordBatch]:
             counts = np.array([len(h[0]) for h in held])
             table = {"key": np.concatenate([h[0] for h in held]).view(np.int64)}
             for i, c in enumerate(("id", "n", "scheme", "allow"), 1):
@@ -245,7 +245,8 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
             table["held"] = np.where(first, np.bincount(run, ~same)[run].astype(np.int64), 0)
             spread = mix((table["key"].view(np.uint64) + table["id"].view(np.uint64) * _ODD[0])).view(np.int64)
             table["route"] = np.where(first, table["key"], spread)
-            return pa.RecordBatch.from_arrays([pa.array(table[t.name][~same]).cast(t.type) for t in _KEYS], schema=_KEYS)
+            arrays = [pa.array(table.pop(t.name)[~same]).cast(t.type) for t in _KEYS]
+            yield from pa.Table.from_arrays(arrays, schema=_KEYS).to_batches(1 << 15)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -255,18 +256,19 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
                     held.append((keys, doc_id, len(grams), s.number, allow))
                     n_keys += len(keys)
                 if n_keys >= FLUSH_KEYS:
-                    yield combine()
+                    yield from combine()
                     held, n_keys = [], 0
         if held:
-            yield combine()
+            yield from combine()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
+        found: dict[str, list[np.ndarray]] = {t.name: [] for t in list(_KEYS)[:7]}
+        for b in batches:
+            for c in found:
+                found[c].append(b.column(b.schema.get_field_index(c)).to_numpy())
+        if not sum(map(len, found["key"])):
             return
-        whole = pa.Table.from_batches(found)
-        table = {c: whole.column(c).to_numpy() for c in whole.column_names if c != "route"}
-        del found, whole
+        table = {c: np.concatenate(found.pop(c)) for c in list(found)}
         table, heads, run = _runs(table, np.lexsort((table["id"], table["held"] == 0, table["key"])))
         own = table["held"] > 0
         size = np.bincount(run, table["held"])[run].astype(np.int64)
@@ -275,7 +277,7 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
         table["pivot"] = np.where(own, head, table["pivot"])
         live = ~own | (size > 1)
         arrays = [pa.array(table[t.name][live]).cast(t.type) for t in list(_KEYS)[:7]]
-        yield from pa.Table.from_arrays([*arrays, pa.array(size[live], mask=~own[live])], names=[*_KEYS.names[:7], "size"]).to_batches(50_000)
+        yield from pa.Table.from_arrays([*arrays, pa.array(size[live], mask=~own[live])], names=[*_KEYS.names[:7], "size"]).to_batches(1 << 15)
 
     keys = docs.mapInArrow(emit, _KEYS_SQL)
     return keys.repartition(parts, "route").mapInArrow(gather, "key long, id long, n int, scheme int, allow int, pivot long, held long, size long")
@@ -369,7 +371,7 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     by_id = classes.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"))
     reps = chosen(_slim(docs), by_id.filter("is_rep = 0").select("doc_id"), "left_anti")
     total = classes.filter("rep = doc_id").agg(F.sum("n")).first()[0] or 0
-    live = written(index(reps, k, num, den, max(8, int(total * 0.6) // FLUSH_KEYS + 1)), "buckets")
+    live = written(index(reps, k, num, den, max(8, int(total * 2.4 * (den - num) / num) // PART_KEYS + 1)), "buckets")
 
     # All rows of live buckets, each with its bucket's size and the pivot of all.
     heads = live.filter("size is not null")
