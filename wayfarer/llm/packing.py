@@ -29,6 +29,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: Pieces, or the pieces of bins, that one task packs at a time.
 PER_TASK = 50_000
+#: Chunks of text in a generation of a worker's cache; tokenising is all that a worker holds then.
+KEPT_CHUNKS = 400_000
 #: Shares of the partitions that go on from round to round.
 FAN_IN = 8
 
@@ -47,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cuts: st
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encode = encoder(tokenizer, cuts).encode
+        encode = encoder(tokenizer, cuts, KEPT_CHUNKS).encode
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end

@@ -16,9 +16,9 @@ from struct import pack
 CUTS = ("word", "byte")
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\u180e]")
 _BYTE_ODD = re.compile(r"(?<=[^\s\x1c-\x1f\u180e])(?=[ \n])")
-#: A word of letters may also be cut from the common punctuation that follows it.
-_BYTE_PLAIN = re.compile(r"[ \n]*[^\W\d_]+(?=[ \n,.;:!?|]|$)|[ \n]*[^ \n]+|[ \n]+")
-_WORD = re.compile(r"[^\W\d_]+(?=[ \n,.;:!?|]|$)|[^ \n]+")
+#: What ends in a letter or digit may also be cut from the common punctuation that follows it.
+_BYTE_PLAIN = re.compile(r" ?[^ \n,.;:!?|]+(?<![\W_])(?![^ \n,.;:!?|])|[ \n]*[^ \n]+|[ \n]+")
+_WORD = re.compile(r"[^ \n,.;:!?|]+(?<![\W_])(?![^ \n,.;:!?|])|[^ \n]+")
 _LIMIT = 250_000
 
 
@@ -91,6 +91,6 @@ class ChunkEncoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cuts: str) -> ChunkEncoder:
+def encoder(path: str, cuts: str, limit: int = _LIMIT) -> ChunkEncoder:
     """One encoder for each Python worker."""
-    return ChunkEncoder(path, cuts)
+    return ChunkEncoder(path, cuts, limit)
