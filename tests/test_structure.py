@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wayfarer.operators import blocks, sampling, structure
-from wayfarer.plans.fixtures import customer_part
+from wayfarer.plans.fixtures import LINE_ORDER, customer_part, customer_part_edges
 from wayfarer.sources.edge_list import parse_lines, read_edge_list, write_edge_list
 from wayfarer.sources.store import load_block, load_blocks, load_graph, save_graph
 
@@ -42,6 +42,12 @@ def test_multi_edges_are_kept_in_order(spark):
     assert [r.dst for r in structure.neighbours(g, 0).orderBy("pos").collect()] == [1, 1, 2]
 
 
+def test_spread_positions_are_the_same(spark, sf):
+    edges = customer_part_edges(spark, sf).withColumn("src", F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("src")))
+    one, other = (structure.graph(edges, LINE_ORDER, spread=s).edges for s in (False, True))
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
 def test_empty_graph(spark):
     g = of_lines(spark, ["# nothing"])
     assert (g.nvertices, g.nedges) == (0, 0)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.shared import written
+
 #: Vertices whose offsets are added up in one window.
 CHUNK = 1 << 16
 
@@ -49,11 +51,29 @@ class Graph:
         return self.spark.range(self.nvertices)
 
 
-def graph(edges: DataFrame, order: Sequence[str] = ("ord",)) -> Graph:
-    """Graph of rows (src, dst[, weight]) with neighbours in the given total order; self-loops are dropped."""
+def graph(edges: DataFrame, order: Sequence[str] = ("ord",), spread: bool = False) -> Graph:
+    """Graph of rows (src, dst[, weight]) with neighbours in the given total order; self-loops are dropped.
+
+    Positions are row numbers in a window for each source. With ``spread``, for graphs where one source may have a large
+    share of all edges, they come from a sort of all edges by range instead.
+    """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(None).cast("long")
-    place = F.row_number().over(Window.partitionBy("src").orderBy(*order)).cast("long") - 1
-    return Graph(edges.filter("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), place.alias("pos")))
+    kept = edges.filter("src <> dst")
+    if spread:
+        placed = _spread_positions(kept, order)
+    else:
+        placed = kept.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy(*order)).cast("long") - 1)
+    return Graph(placed.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), "pos"))
+
+
+def _spread_positions(edges: DataFrame, order: Sequence[str]) -> DataFrame:
+    """edges with pos: row number in the source's part of a range partition, and what earlier partitions have of it."""
+    ranged = written(edges.repartitionByRange("src", *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    inner = F.row_number().over(Window.partitionBy("__part", "src").orderBy(*order)).cast("long") - 1
+    shares = ranged.groupBy("__part", "src").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("src").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = shares.select("__part", "src", before.alias("__before"))
+    return ranged.withColumn("pos", inner).join(shares, ["__part", "src"]).withColumn("pos", F.col("pos") + F.col("__before"))
 
 
 def sinks_out(g: Graph) -> DataFrame:

@@ -198,7 +198,10 @@ def run(g: Graph, spec: WalkSpec) -> tuple[DataFrame, DataFrame]:
             walks = written(walks, "walks")
             parts.append((first, walks))
             walks, first = walks.withColumn("past", F.array().cast("array<long>")), k + 1
-    if not parts:
+    if parts:  # all hops are written
+        vertices.unpersist()
+        edges.unpersist()
+    else:
         parts.append((0, walks))
     rows = [w.select("walk_id", "source", F.posexplode("past").alias("k", "pos")).select("walk_id", "source", (F.col("k") + at).cast("int").alias("step"), "pos") for at, w in parts]
     whole = rows[0]
