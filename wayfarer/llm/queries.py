@@ -100,3 +100,28 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import clusters
 
     return clusters(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+#: Base 32 of a SHA-1: four letters for each five hex digits.
+_FIVE = "CAST('0x' || substr(s, 5 * k + 1, 5) AS BIGINT)"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({v} >> {b}) & 31 AS INTEGER) + 1, 1)"
+_FOUR = " || ".join(_LETTER.format(v=_FIVE, b=b) for b in (15, 10, 5, 0))
+
+ORACLE_SQL["op3_warc"] = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {" || ".join("(" + _FOUR.replace("5 * k + 1", str(5 * k + 1)) + ")" for k in range(8))} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  coalesce(nullif(url, ''), 'urn:page:' || CAST(page_id AS VARCHAR)) AS url
+FROM d"""
+
+ORACLE_SQL["op10_jaccard"] = """WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM t WHERE len(w) > 0),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS gram FROM i),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 85 * (a.n + b.n - m)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT t.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, least(t.doc_id, coalesce(min(r.y), t.doc_id)) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN r ON r.x = t.doc_id GROUP BY t.doc_id"""
