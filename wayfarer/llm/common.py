@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
-__all__ = ["arrow_limits", "batches_of", "drop_written", "new_folder", "open_store", "shared_dir", "to_batch", "with_group_figures", "written"]
+__all__ = ["arrow_limits", "batches_of", "drop_written", "new_folder", "open_store", "release", "shared_dir", "to_batch", "with_group_figures", "written"]
 
 #: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -25,6 +27,13 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
+def release() -> None:
+    """Give memory that Arrow and numpy no longer use back to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches small enough for very long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

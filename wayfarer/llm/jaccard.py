@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, drop_written, with_group_figures, written
+from .common import arrow_limits, drop_written, release, with_group_figures, written
 
 #: Ids that are broadcast to choose documents; beyond, they meet the documents in a shuffle.
 BROADCAST_IDS = 500_000
@@ -176,8 +176,10 @@ def keys_of(grams: np.ndarray, s: Scheme) -> tuple[np.ndarray, int]:
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary())])
-_KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("scheme", pa.int32()), ("allow", pa.int32()), ("pivot", pa.int64()), ("held", pa.int64()), ("route", pa.int64())])
-_KEYS_SQL = "key long, id long, n int, scheme int, allow int, pivot long, held long, route long"
+#: route is a row's key, or a hash by which it is dealt; then own has the key. info: size, scheme, allow.
+_KEYS = pa.schema([("route", pa.int64()), ("own", pa.int64()), ("id", pa.int64()), ("info", pa.int64()), ("pivot", pa.int64()), ("held", pa.int32())])
+_KEYS_SQL = "route long, own long, id long, info long, pivot long, held int"
+_N_BIT, _SCHEME_BIT = 32, 20
 
 
 def _text(value: pa.Scalar) -> bytes:
@@ -215,15 +217,8 @@ def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _runs(table: dict[str, np.ndarray], order: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    table = {c: v[order] for c, v in table.items()}
-    key = table["key"]
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return table, heads, np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(key)]))
-
-
 def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """Buckets of two or more documents: key, id, n, scheme, allow, pivot, held, and size of the bucket.
+    """Buckets of two or more documents: key, id, n, scheme, allow, pivot, and size of the bucket.
 
     A row with id <> pivot and size null hangs on the pivot of its map task; that one's own row has
     the size. Only pivots of map tasks are dealt by key, the other rows by key and id.
@@ -234,53 +229,70 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
 
         def combine() -> Iterator[pa.RecordBatch]:
             counts = np.array([len(h[0]) for h in held])
-            table = {"key": np.concatenate([h[0] for h in held]).view(np.int64)}
-            for i, c in enumerate(("id", "n", "scheme", "allow"), 1):
-                table[c] = np.repeat(np.array([h[i] for h in held], np.int64), counts)
-            table, heads, run = _runs(table, np.lexsort((table["id"], table["key"])))
-            first = np.zeros(len(run), bool)
-            first[heads] = True
-            same = np.r_[False, (table["key"][1:] == table["key"][:-1]) & (table["id"][1:] == table["id"][:-1])]
-            table["pivot"] = table["id"][heads][run]
-            table["held"] = np.where(first, np.bincount(run, ~same)[run].astype(np.int64), 0)
-            spread = mix((table["key"].view(np.uint64) + table["id"].view(np.uint64) * _ODD[0])).view(np.int64)
-            table["route"] = np.where(first, table["key"], spread)
-            arrays = [pa.array(table.pop(t.name)[~same]).cast(t.type) for t in _KEYS]
-            yield from pa.Table.from_arrays(arrays, schema=_KEYS).to_batches(1 << 15)
+            key = np.concatenate([h[0] for h in held]).view(np.int64)
+            ids, info = (np.repeat(np.array([h[i] for h in held], np.int64), counts) for i in (1, 2))
+            order = np.lexsort((ids, key))
+            key, ids, info = key[order], ids[order], info[order]
+            first = np.r_[True, key[1:] != key[:-1]]
+            once = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+            run = np.cumsum(first) - 1
+            spread = mix(key.view(np.uint64) + ids.view(np.uint64) * _ODD[0]).view(np.int64)
+            rest = ~first[once]
+            columns = [
+                pa.array(np.where(first, key, spread)[once]),
+                pa.array(key[once], mask=~rest),
+                pa.array(ids[once]),
+                pa.array(info[once]),
+                pa.array(ids[first][run][once], mask=~rest),
+                pa.array(np.where(first, np.bincount(run, once)[run], 0)[once].astype(np.int32)),
+            ]
+            yield from pa.Table.from_arrays(columns, schema=_KEYS).to_batches(1 << 15)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = shingles(_text(text), k) if doc_id is not None else ()
                 for s in schemes_of(len(grams), num, den) if len(grams) else ():
                     keys, allow = keys_of(grams, s)
-                    held.append((keys, doc_id, len(grams), s.number, allow))
+                    held.append((keys, doc_id, (len(grams) << _N_BIT) | (s.number << _SCHEME_BIT) | (allow + 1)))
                     n_keys += len(keys)
                 if n_keys >= FLUSH_KEYS:
                     yield from combine()
                     held, n_keys = [], 0
         if held:
             yield from combine()
+        held = []
+        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[np.ndarray]] = {t.name: [] for t in list(_KEYS)[:7]}
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
         for b in batches:
-            for c in found:
-                found[c].append(b.column(b.schema.get_field_index(c)).to_numpy())
-        if not sum(map(len, found["key"])):
+            route, own, ids, info, pivot, held = b.columns
+            hung = held.to_numpy() == 0
+            key = np.where(hung, own.fill_null(0).to_numpy(), route.to_numpy())
+            for column, values in zip(found, (key, ids.to_numpy(), info.to_numpy(), np.where(hung, pivot.fill_null(0).to_numpy(), 0), held.to_numpy())):
+                column.append(values)
+        if not sum(map(len, found[0])):
             return
-        table = {c: np.concatenate(found.pop(c)) for c in list(found)}
-        table, heads, run = _runs(table, np.lexsort((table["id"], table["held"] == 0, table["key"])))
-        own = table["held"] > 0
-        size = np.bincount(run, table["held"])[run].astype(np.int64)
-        # The first row of a run with a pivot row is the least pivot; others hang on it.
-        head = np.where(own[heads], table["id"][heads], 0)[run]
-        table["pivot"] = np.where(own, head, table["pivot"])
+        key, ids, info, pivot, held = (np.concatenate(c) for c in found)
+        found.clear()
+        order = np.lexsort((ids, held == 0, key))
+        key, ids, info, pivot, held = (c[order] for c in (key, ids, info, pivot, held))
+        first = np.r_[True, key[1:] != key[:-1]]
+        run = np.cumsum(first) - 1
+        own = held > 0
+        size = np.bincount(run, held)[run].astype(np.int64)
+        # The first row of a key with rows of its own is the least pivot.
+        pivot = np.where(own, ids[first][run], pivot)
         live = ~own | (size > 1)
-        arrays = [pa.array(table[t.name][live]).cast(t.type) for t in list(_KEYS)[:7]]
-        yield from pa.Table.from_arrays([*arrays, pa.array(size[live], mask=~own[live])], names=[*_KEYS.names[:7], "size"]).to_batches(1 << 15)
+        n, number, allow = info >> _N_BIT, (info >> _SCHEME_BIT) & 0xFFF, (info & 0xFFFFF) - 1
+        columns = [key[live], ids[live], n[live].astype(np.int32), number[live].astype(np.int32), allow[live].astype(np.int32), pivot[live]]
+        whole = pa.Table.from_arrays([*map(pa.array, columns), pa.array(size[live], mask=~own[live])], names=["key", "id", "n", "scheme", "allow", "pivot", "size"])
+        del key, ids, info, pivot, held, order, run, size, columns
+        yield from whole.to_batches(1 << 15)
+        release()
 
     keys = docs.mapInArrow(emit, _KEYS_SQL)
-    return keys.repartition(parts, "route").mapInArrow(gather, "key long, id long, n int, scheme int, allow int, pivot long, held long, size long")
+    return keys.repartition(parts, "route").mapInArrow(gather, "key long, id long, n int, scheme int, allow int, pivot long, size long")
 
 
 def rarest(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -364,14 +376,20 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
 
     Documents link when den * common n-grams >= num * n-grams of either.
     """
+    passing: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        passing.append(written(df, label))
+        return passing[-1]
+
     thin = written(set_hashes(docs, k), "sets")
     known = thin.filter("doc_id is not null and n > 0")
-    classes = written(with_group_figures(known, "set_hash", F.col("doc_id"), {"rep": (F.col("doc_id"), "min")}).select("doc_id", "n", "rep"), "classes")
+    classes = keep(with_group_figures(known, "set_hash", F.col("doc_id"), {"rep": (F.col("doc_id"), "min")}).select("doc_id", "n", "rep"), "classes")
     # A doc_id may have several rows with different sets; it is left out only if none of them represents its class.
     by_id = classes.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep"))
     reps = chosen(_slim(docs), by_id.filter("is_rep = 0").select("doc_id"), "left_anti")
     total = classes.filter("rep = doc_id").agg(F.sum("n")).first()[0] or 0
-    live = written(index(reps, k, num, den, max(8, int(total * 2.4 * (den - num) / num) // PART_KEYS + 1)), "buckets")
+    live = keep(index(reps, k, num, den, max(8, int(total * 2.4 * (den - num) / num) // PART_KEYS + 1)), "buckets")
 
     # All rows of live buckets, each with its bucket's size and the pivot of all.
     heads = live.filter("size is not null")
@@ -384,8 +402,7 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     large_rows = rows.filter(F.col("all") > large)
     heavy = large_rows.groupBy("id", "scheme").agg(F.count("*").alias("many"), F.max("allow").alias("allow")).filter("many > allow").select("id", "scheme")
     rows = rows.filter(F.col("all") <= large).unionByName(large_rows.join(heavy, ["id", "scheme"], "left_semi"))
-    rows = written(rows.select("key", "id", "n", "top"), "members")
-    drop_written(live)
+    rows = keep(rows.select("key", "id", "n", "top"), "members")
     pivots = rows.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("left")).filter("left > 1")
     sized = rows.groupBy("id").agg(F.max("n").alias("n"))
 
@@ -395,35 +412,37 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
         fit = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
         return pairs.join(x, "a").join(y, "b").filter(fit).select("a", "b")
 
-    rows = written(rows.drop("top").join(pivots.select("key", "top"), "key"), "members")
-    ids = written(rows.select("id").distinct(), "ids")
-    sets = written(sets_of(reps, ids, k), "grams")
+    rows = keep(rows.drop("top").join(pivots.select("key", "top"), "key"), "members")
+    ids = keep(rows.select("id").distinct(), "ids")
+    sets = keep(sets_of(reps, ids, k), "grams")
     spokes = rows.filter("id <> top").groupBy("id", "top").count().groupBy("id").agg(F.max_by("top", F.struct("count", -F.col("top"))).alias("top"))
-    tried = written(alike(spokes.select(F.col("top").alias("a"), F.col("id").alias("b"))), "pairs")
-    links = written(verify(tried, sets, num, den), "found")
+    tried = keep(alike(spokes.select(F.col("top").alias("a"), F.col("id").alias("b"))), "pairs")
+    links = keep(verify(tried, sets, num, den), "found")
     repeats = classes.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     for step in ("pivot", "pivot", "all"):
         comps = components(links)
         placed = rows.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         # The pivot of a bucket is now the least id of its least component.
         apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "id"))["id"].alias("top")).filter("lo <> hi")
-        placed = written(placed.join(apart.select("key", "lo", "top"), "key"), "apart")
+        placed = keep(placed.join(apart.select("key", "lo", "top"), "key"), "apart")
         if placed.isEmpty():
             break
         if step == "pivot":
             pairs = placed.filter("comp <> lo").select(F.col("top").alias("a"), F.col("id").alias("b"))
         else:
-            rare = written(rarest(placed.groupBy("id").agg(F.min("comp").alias("comp")), sets, num, den), "rarest")
+            rare = keep(rarest(placed.groupBy("id").agg(F.min("comp").alias("comp")), sets, num, den), "rarest")
             y = rare.select("gram", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
             # What two sets share comes after their first shared n-gram in either; it must be enough.
             enough = (num + den) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= num * (F.col("n") + F.col("n_b"))
             fit = (F.col("comp") < F.col("comp_b")) & (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & enough
             pairs = rare.withColumnRenamed("gram", "g").join(y, (F.col("g") == F.col("gram")) & fit).select(F.col("id").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(alike(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(verify(pairs, sets, num, den), "found")
+        pairs = keep(alike(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = keep(verify(pairs, sets, num, den), "found")
         links, tried = links.unionByName(more), tried.unionByName(pairs)
     comps = components(links.unionByName(repeats))
+    for table in passing:  # all that is needed of them is in comps
+        drop_written(table)
     # A row's component: that of its class, or itself.
     labelled = thin.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
