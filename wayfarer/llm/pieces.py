@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, batches_of
 
+#: The vocabulary's mark of white space; here it is a space, which keeps most chunks at a byte a character.
 MARK = "▁"
 SHIFT = 20.0
 #: Chunks kept in each of two generations of the cache; longer ones than KEPT_CHARS are not. N best kept.
-KEPT, KEPT_CHARS, KEPT_WAYS = 200_000, 64, 20_000
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Marks before which a word of letters also ends, where no piece holds a letter and then the mark.
+KEPT, KEPT_CHARS, KEPT_WAYS = 500_000, 64, 20_000
+_CHUNK = re.compile(" +[^ ]*|[^ ]+")
+#: Marks before which a chunk that ends in a letter also ends, unless some piece joins the two.
 ENDS = ",.;:!?|"
 #: Scores are whole numbers of millionths, so sums are exact and equal ways are known as equal.
 UNIT = 1_000_000
@@ -69,6 +70,7 @@ class PieceModel:
                 b = int(name[3:5], 16)
                 self.byte_ids[b], self.bytes_of[i] = i, bytes([b])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
+                name = name.replace(MARK, " ")
                 own[name] = i, m.get_score(i)
                 self.bytes_of[i] = name.encode()
         ranks = scores == "rank" or (scores == "auto" and all(s == int(s) for _, s in own.values()))
@@ -87,16 +89,17 @@ class PieceModel:
                 at = at.setdefault(c, (-1, 0, {}))[2]
             at[p[-1]] = (*own[p], {})
         self.byte_score = min((s for _, s in own.values()), default=0) - 10 * UNIT
-        self.parts = not any(MARK in p.lstrip(MARK) for p in own)
-        ends = "".join(e for e in ENDS if not any(re.search(rf"[^\W\d_]{re.escape(e)}", p) for p in own))
-        self.chunk_of = re.compile(rf"{MARK}*[^\W\d_]+(?=[{MARK}{ends}]|$)|{_CHUNK.pattern}").findall
+        self.parts = not any(" " in p.lstrip(" ") for p in own)
+        # Characters that some piece joins to a mark of ENDS.
+        joined = "".join(sorted({a for p in own for a, b in zip(p, p[1:]) if b in ENDS and a.isalnum()}))
+        self.chunk_of = re.compile(rf" *[^ {ENDS}]+(?<![\W\d_{joined}])(?![^ {ENDS}])|{_CHUNK.pattern}").findall
         self.cache: dict[str, Head] = {}
         self.old: dict[str, Head] = {}
         self.ways: dict[tuple[str, int], list[Way]] = {}
 
     def normalize(self, text: str) -> str:
-        """The model's own normalisation: white space to marks, and what else it names."""
-        return self.processor.normalize(text)
+        """The model's own normalisation, with marks as spaces."""
+        return self.processor.normalize(text).replace(MARK, " ")
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk_of(text) if self.parts else [text]
@@ -226,7 +229,13 @@ class PieceModel:
         """The n best segmentations of a whole text: (score, ids), best first."""
         if not text:
             return [(0.0, b"")]
-        chunks = self.chunks(self.normalize(text))
+        return self.best_of(self.normalize(text), n)
+
+    def best_of(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """best() of a text that has been normalised."""
+        if not text:
+            return [(0.0, b"")]
+        chunks = self.chunks(text)
         get, head = self.cache.get, self.head
         heads = [get(c) or head(c) for c in chunks]
         scores, ids, losses = zip(*heads)
@@ -255,8 +264,7 @@ class PieceModel:
     def decode(self, ids: np.ndarray | bytes) -> str:
         """Ids back to the normalised text, marks as spaces, without the one put in front."""
         ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text.removeprefix(MARK).replace(MARK, " ")
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -337,9 +345,9 @@ def digest(docs: DataFrame, path: str, n: int) -> DataFrame:
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py() or ""
-                ways = m.best(text, n)
-                want = m.normalize(text).removeprefix(MARK).replace(MARK, " ") if text else ""
-                yield doc_id, [len(w) // 4 for _, w in ways], [round(s, 6) for s, _ in ways], [zlib.crc32(w) for _, w in ways], m.decode(ways[0][1]) == want
+                text = m.normalize(text) if text else ""
+                ways = m.best_of(text, n)
+                yield doc_id, [len(w) // 4 for _, w in ways], [round(s, 6) for s, _ in ways], [zlib.crc32(w) for _, w in ways], m.decode(ways[0][1]) == text.removeprefix(" ")
 
     return _slim(docs).mapInArrow(lambda b: batches_of(rows(b), _DIGEST, 5000), "doc_id long, n_pieces array<long>, scores array<double>, ids_crc32 array<long>, decoded boolean")
 
