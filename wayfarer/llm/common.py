@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
-__all__ = ["arrow_limits", "batches_of", "drop_written", "new_folder", "open_store", "release", "shared_dir", "to_batch", "with_group_figures", "written"]
+__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "new_folder", "open_store", "release", "shared_dir", "to_batch", "with_group_figures", "written"]
 
 #: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,8 +28,15 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
+#: Functions that empty caches of operators; a worker serves one operator after another.
+CACHES: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Give memory that Arrow and numpy no longer use back to the system; workers live on after a task."""
+    """Empty operators' caches, and give memory that nothing uses any more back to the system: workers live on after a task."""
+    for clear in CACHES:
+        clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries
         ctypes.CDLL(None).malloc_trim(0)

@@ -46,7 +46,7 @@ BROADCAST_IDS = 500_000
 #: A bucket of more documents is large.
 LARGE_BUCKET = 64
 #: Keys that a map task combines at a time, and that the task of a part of the index gets, about.
-FLUSH_KEYS, PART_KEYS = 1 << 18, 1 << 19
+FLUSH_KEYS, PART_KEYS = 1 << 18, 3 << 17
 #: Counters of how common n-grams are.
 COUNTERS = 1 << 20
 _U = np.uint64
@@ -195,6 +195,7 @@ def set_hashes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (size of the set), set_hash (128 bits of it) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sets = [shingles(_text(t), k) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], schema=_SETS)
@@ -225,6 +226,7 @@ def index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, n_keys = [], 0
 
         def combine() -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches_of
+from .common import CACHES, arrow_limits, batches_of
 
 #: The vocabulary's mark of white space; here it is a space, which keeps most chunks at a byte a character.
 MARK = "▁"
@@ -298,6 +298,8 @@ def model(path: str, scores: str = "auto") -> PieceModel:
     return PieceModel(path, scores)
 
 
+CACHES.append(model.cache_clear)
+
 _ROW = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
 
 

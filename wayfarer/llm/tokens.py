@@ -11,6 +11,8 @@ import re
 from functools import lru_cache
 from struct import pack
 
+from .common import CACHES
+
 #: Where whole texts may be cut. "word": the tokenizer drops white space. "byte": a run of white
 #: space belongs to what follows it, and a chunk starts at such a run after something else.
 CUTS = ("word", "byte")
@@ -94,3 +96,6 @@ class ChunkEncoder(dict):
 def encoder(path: str, cuts: str, limit: int = _LIMIT) -> ChunkEncoder:
     """One encoder for each Python worker."""
     return ChunkEncoder(path, cuts, limit)
+
+
+CACHES.append(encoder.cache_clear)
