@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
-__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "new_folder", "open_store", "release", "shared_dir", "to_batch", "with_group_figures", "written"]
+__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "shared_dir", "to_batch", "with_group_figures", "written"]
 
 #: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,6 +42,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to: it does when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches small enough for very long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, drop_written, release, with_group_figures, written
+from .common import arrow_limits, drop_written, free_shuffles, release, with_group_figures, written
 
 #: Ids that are broadcast to choose documents; beyond, they meet the documents in a shuffle.
 BROADCAST_IDS = 500_000
@@ -382,6 +382,7 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         passing.append(written(df, label))
+        free_shuffles(docs.sparkSession)
         return passing[-1]
 
     thin = written(set_hashes(docs, k), "sets")
@@ -404,7 +405,8 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     large_rows = rows.filter(F.col("all") > large)
     heavy = large_rows.groupBy("id", "scheme").agg(F.count("*").alias("many"), F.max("allow").alias("allow")).filter("many > allow").select("id", "scheme")
     rows = rows.filter(F.col("all") <= large).unionByName(large_rows.join(heavy, ["id", "scheme"], "left_semi"))
-    rows = keep(rows.select("key", "id", "n", "top"), "members")
+    members = rows = keep(rows.select("key", "id", "n", "top"), "members")
+    drop_written(live)
     pivots = rows.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("left")).filter("left > 1")
     sized = rows.groupBy("id").agg(F.max("n").alias("n"))
 
@@ -414,7 +416,10 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
         fit = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
         return pairs.join(x, "a").join(y, "b").filter(fit).select("a", "b")
 
+    # For alike(), which reads sizes later, these stay: a row a document.
+    sized = keep(sized, "sizes")
     rows = keep(rows.drop("top").join(pivots.select("key", "top"), "key"), "members")
+    drop_written(members)
     ids = keep(rows.select("id").distinct(), "ids")
     sets = keep(sets_of(reps, ids, k), "grams")
     spokes = rows.filter("id <> top").groupBy("id", "top").count().groupBy("id").agg(F.max_by("top", F.struct("count", -F.col("top"))).alias("top"))
