@@ -120,12 +120,13 @@ def _second_order(at: DataFrame, e: DataFrame, edges: DataFrame, spec: WalkSpec,
     """All out-edges of the vertex, weighed; the first whose running weight is over r % total is taken."""
     back, near, far = spec.bias
     known = edges.select(F.col("src").alias("k_src"), F.col("dst").alias("k_dst")).distinct()
-    seen = at.filter("follows").join(e, F.col("pos") == F.col("e_src")).join(known, (F.col("prev") == F.col("k_src")) & (F.col("e_dst") == F.col("k_dst")), "left")
+    slim = at.filter("follows").select("walk_id", "prev", "pos", r.alias("want"))  # a draw for each walk, not for each of its edges
+    seen = slim.join(e, F.col("pos") == F.col("e_src")).join(known, (F.col("prev") == F.col("k_src")) & (F.col("e_dst") == F.col("k_dst")), "left")
     rule = F.when(F.col("prev").isNull(), 1).when(F.col("e_dst") == F.col("prev"), back).when(F.col("k_src").isNotNull(), near).otherwise(far)
     of = Window.partitionBy("walk_id")
     seen = seen.withColumn("w", F.coalesce("e_weight", F.lit(1)) * rule)
     seen = seen.withColumns({"cum": F.sum("w").over(of.orderBy("e_pos").rowsBetween(Window.unboundedPreceding, 0)), "tot": F.sum("w").over(of)})
-    took = seen.filter(F.col("cum") > r % F.col("tot")).groupBy(F.col("walk_id").alias("t_id")).agg(F.min_by("e_dst", "e_pos").alias("to"))
+    took = seen.filter(F.col("cum") > F.col("want") % F.col("tot")).groupBy(F.col("walk_id").alias("t_id")).agg(F.min_by("e_dst", "e_pos").alias("to"))
     hit = at.join(took, F.col("walk_id") == F.col("t_id"), "left")
     return _moved(hit, F.coalesce("to", _jump(spec, nvertices)), F.col("to").isNull())
 
@@ -191,10 +192,12 @@ def run(g: Graph, spec: WalkSpec) -> tuple[DataFrame, DataFrame]:
     state. So plans stay short, each hop is worked out once, and a lost executor costs a few hops.
     """
     vertices, edges = _tables(g, spec)
+    # A second-order hop reads the walks twice; unwritten, the work would double from hop to hop.
+    every = 1 if spec.weighting == "second_order" else HOPS_PER_WRITE
     walks, parts, first = sources(g, spec), [], 0
     for k in range(1, spec.steps + 1):
         walks = advance(walks, vertices, edges, spec, g.nvertices)
-        if k % HOPS_PER_WRITE == 0 or k == spec.steps:
+        if k % every == 0 or k == spec.steps:
             walks = written(walks, "walks")
             parts.append((first, walks))
             walks, first = walks.withColumn("past", F.array().cast("array<long>")), k + 1

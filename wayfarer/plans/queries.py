@@ -16,12 +16,12 @@ from wayfarer.sources.edge_list import parse_lines
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: The default workload, and smaller ones for rules whose SQL is slow.
+#: The reference's default workload, for every rule.
 WALKS = WalkSpec(10_000, 25, 0.15)
-RESTART = WalkSpec(2_000, 10, 0.15, target="source", seed=7)
-PREFIX = WalkSpec(2_000, 8, 0.15, target="source", weighting="prefix", seed=11)
-ALIAS = WalkSpec(2_000, 8, 0.15, weighting="alias", seed=13)
-SECOND = WalkSpec(1_000, 3, 0.15, weighting="second_order", seed=17)
+RESTART = WalkSpec(10_000, 25, 0.15, target="source", seed=7)
+PREFIX = WalkSpec(10_000, 25, 0.15, target="source", weighting="prefix", seed=11)
+ALIAS = WalkSpec(10_000, 25, 0.15, weighting="alias", seed=13)
+SECOND = WalkSpec(10_000, 25, 0.15, weighting="second_order", seed=17)
 #: Blocks of queries hold an eighth of the edges each.
 BLOCK_SHARE = 8
 #: Hops after which schedule queries look at the walks.
@@ -209,7 +209,7 @@ def walk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.paths(customer_part(spark, sf_dir), WALKS).select("walk_id", "step", "pos")
 
 
-JOINED = WalkSpec(2_000, 10, 0.15, seed=5)
+JOINED = WalkSpec(10_000, 25, 0.15, seed=5)
 
 
 @query(f"WITH RECURSIVE {EDGES}{walks_sql(JOINED)} SELECT walk_id, step, pos FROM w")
