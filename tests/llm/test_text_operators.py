@@ -87,6 +87,14 @@ def test_pii_confirmed_and_weighed_spans(spark):
     assert pii.report(df.limit(0)).collect() == []
 
 
+def test_pii_context_reaches_over_other_matches(spark):
+    rows = ["SSN: 123-45-6789 and 234-56-7890", "Tel: 555-123-4567 or 555-987-6543", "ssn 000-12-3456, 123-45-6789", "123-45-6789, 234-56-7890 (ssn)", "SSN: 123-45-6789" + " " * 60 + "234-56-7890"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert got == {0: "national_id:5:16,national_id:21:32", 1: "local_phone:5:17,local_phone:21:33", 2: "national_id:17:28", 3: "national_id:0:11,national_id:13:24", 4: "national_id:5:16"}
+    assert [r.text for r in pii.redact(df.filter("doc_id = 0")).collect()] == ["SSN: <NATIONAL_ID> and <NATIONAL_ID>"]
+
+
 def test_pii_plan_has_no_python(spark, sf):
     for df in (pii.report(table(spark, sf, "documents")), pii.redact(table(spark, sf, "documents"))):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BEFORE, AFTER, ENOUGH = 60, 30, 0.5
+#: No pattern matches fewer characters.
+SHORTEST = 4
 
 
 def _digits(match: Column) -> Column:
@@ -92,19 +94,25 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
 
 
 def _spans(kind: Kind, rank: int, between: Column, matches: Column) -> Column:
-    """Spans of a kind that pass, in order. A running position goes along the matches."""
+    """Spans of a kind that pass, in order. A running position and the last characters go along the matches."""
+
+    def ahead(i: Column, reach: int) -> Column:
+        """The text after match i, later matches included: enough pieces for ``reach`` characters."""
+        pieces = F.transform(F.sequence(F.lit(1), F.lit(-(-reach // SHORTEST))), lambda j: F.array(F.left(F.get(between, i + j), F.lit(reach)), F.get(matches, i + j)))
+        return F.left(F.array_join(F.flatten(pieces), ""), F.lit(reach))
 
     def step(so_far: Column, i: Column) -> Column:
-        gap, match, after = F.get(between, i), F.get(matches, i), F.get(between, i + 1)
+        gap, match = F.get(between, i), F.get(matches, i)
+        before = F.right(F.concat(so_far["before"], gap), F.lit(BEFORE))
         start = so_far["at"] + F.length(gap)
         end = start + F.length(match)
-        score = _score(kind, gap, after)
+        score = _score(kind, before, ahead(i, AFTER))
         passed = kind.check(match) if kind.base else kind.check(match) & (score >= ENOUGH)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
         spans = F.when(passed, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, match), F.lit(BEFORE)).alias("before"), spans.alias("spans"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
     run = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), none, step, lambda x: x["spans"])
     return F.when(F.size(matches) > 0, run).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
