@@ -95,6 +95,14 @@ def test_pii_context_reaches_over_other_matches(spark):
     assert [r.text for r in pii.redact(df.filter("doc_id = 0")).collect()] == ["SSN: <NATIONAL_ID> and <NATIONAL_ID>"]
 
 
+def test_ibans_end_before_the_next_word(spark):
+    iban, other = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    rows = [f"IBAN {iban} Please pay", "GB82WEST12345698765432 BIC NWBKGB2L", f"{iban} EUR 5", f"{iban} {other} and", f"AB12 {iban}, x", f"{iban}", f"{iban}x", "GB83 WEST 1234 5698 7654 32 Please"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert got == {0: "iban:5:32", 1: "iban:0:22", 2: "iban:0:27", 3: "iban:0:27,iban:28:55", 4: "iban:5:32", 5: "iban:0:27", 6: "", 7: ""}
+
+
 def test_pii_plan_has_no_python(spark, sf):
     for df in (pii.report(table(spark, sf, "documents")), pii.redact(table(spark, sf, "documents"))):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 BEFORE, AFTER, ENOUGH = 60, 30, 0.5
 #: No pattern matches fewer characters.
 SHORTEST = 4
+#: Characters of a ``rest``, at most: 30 with a space before each.
+LONGEST_REST = 60
 
 
 def _digits(match: Column) -> Column:
@@ -73,6 +75,7 @@ class Kind:
     weight: float
     lift: float = 0.3
     base: bool = True
+    rest: str | None = None  # what may follow the pattern's match; spans end within it, at the last place that passes
 
 
 KINDS = (
@@ -80,7 +83,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip_parts, r"[0-9]\.[0-9]", "ip|host|server|address", 0.6),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])", lambda m: luhn(_digits(m)), r"[0-9](?:[\x20-]?[0-9]){11}", "card|visa|credit|pay", 0.6),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), r"\+", "phone|tel|call|fax|mobile", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))), "[A-Z]{2}[0-9]{2}", "iban|account|bank", 0.6, base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?+[A-Z0-9]){11})", mod97, "[A-Z]{2}[0-9]{2}", "iban|account|bank", 0.6, base=False, rest=r"(?=((?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), "[0-9]{3}-[0-9]{2}-", "ssn|social security|national id|tax id", 0.3, base=False),
     Kind("local_phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", lambda m: F.lit(True), r"[0-9]{3}[\x20.-][0-9]{4}", "phone|tel|call|fax|mobile", 0.3, base=False),
 )
@@ -93,7 +96,19 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
     return F.lit(kind.weight) + F.when(near.rlike(rf"\b(?:{kind.context})"), kind.lift).otherwise(0.0)
 
 
-def _spans(kind: Kind, rank: int, between: Column, matches: Column) -> Column:
+def _whole(kind: Kind, head: Column, rest: Column) -> Column:
+    """The longest of head and a part of rest, up to the end of a word, that passes the check; null if none does."""
+    compact = lambda n: F.concat(head, F.replace(F.left(rest, n), F.lit(" "), F.lit("")))
+
+    def ends(n: Column) -> Column:
+        fits = F.left(rest, n).rlike("[A-Z0-9]$") & ~F.substring(rest, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & F.length(compact(n)).between(15, 34)
+        return F.when(fits, kind.check(compact(n))).otherwise(False)
+
+    best = F.array_max(F.filter(F.sequence(F.lit(11), F.length(rest)), ends))
+    return F.concat(head, F.left(rest, best))
+
+
+def _spans(kind: Kind, rank: int, between: Column, matches: Column, rests: Column | None) -> Column:
     """Spans of a kind that pass, in order. A running position and the last characters go along the matches."""
 
     def ahead(i: Column, reach: int) -> Column:
@@ -104,15 +119,24 @@ def _spans(kind: Kind, rank: int, between: Column, matches: Column) -> Column:
     def step(so_far: Column, i: Column) -> Column:
         gap, match = F.get(between, i), F.get(matches, i)
         before = F.right(F.concat(so_far["before"], gap), F.lit(BEFORE))
+        after = ahead(i, AFTER)
         start = so_far["at"] + F.length(gap)
-        end = start + F.length(match)
-        score = _score(kind, before, ahead(i, AFTER))
-        passed = kind.check(match) if kind.base else kind.check(match) & (score >= ENOUGH)
+        at = end = start + F.length(match)
+        if rests is None:
+            passed = kind.check(match)
+        else:  # a span starts after the last one's end
+            found = _whole(kind, match, F.get(rests, i))
+            longer = F.coalesce(F.length(found), F.length(match))
+            end, after = start + longer, F.substring(ahead(i, AFTER + LONGEST_REST), longer - F.length(match) + 1, F.lit(AFTER))
+            passed = found.isNotNull() & (start >= so_far["end"])
+        score = _score(kind, before, after)
+        passed = passed if kind.base else passed & (score >= ENOUGH)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
         spans = F.when(passed, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"])
-        return F.struct(end.alias("at"), F.right(F.concat(before, match), F.lit(BEFORE)).alias("before"), spans.alias("spans"))
+        last = F.when(passed, end).otherwise(so_far["end"])
+        return F.struct(at.alias("at"), last.alias("end"), F.right(F.concat(before, match), F.lit(BEFORE)).alias("before"), spans.alias("spans"))
 
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("before"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
     run = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), none, step, lambda x: x["spans"])
     return F.when(F.size(matches) > 0, run).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
@@ -123,7 +147,8 @@ def find(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
     kept = docs.columns
     out = docs.withColumns({f"__m_{k.name}": F.when(body.rlike(k.gate), F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS})
     out = out.withColumns({f"__b_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split(body, k.pattern, -1)) for k in KINDS})
-    out = out.withColumns({f"__s_{k.name}": _spans(k, i, F.col(f"__b_{k.name}"), F.col(f"__m_{k.name}")) for i, k in enumerate(KINDS)})
+    out = out.withColumns({f"__r_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.regexp_extract_all(body, F.lit(k.pattern + k.rest), F.lit(1))) for k in KINDS if k.rest})
+    out = out.withColumns({f"__s_{k.name}": _spans(k, i, F.col(f"__b_{k.name}"), F.col(f"__m_{k.name}"), F.col(f"__r_{k.name}") if k.rest else None) for i, k in enumerate(KINDS)})
     out = out.withColumn("__base", F.concat(*[F.col(f"__s_{k.name}") for k in KINDS if k.base]))
     out = out.withColumn("__more", F.concat(*[F.col(f"__s_{k.name}") for k in KINDS if not k.base]))
     apart = F.filter("__more", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
