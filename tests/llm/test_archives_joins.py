@@ -168,6 +168,38 @@ def test_components_awkward_rows(spark):
     assert jaccard.clusters(df.limit(0)).collect() == [] and jaccard.keep_first(df.limit(0)).collect() == []
 
 
+def check_links(df, rows, k, num, den):
+    """Every link between classes, and the class and number of links of every row, by comparing all."""
+    sets = {}
+    for i, text in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets[i] = frozenset(" ".join(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))) if w else frozenset()
+    rep = {}
+    for i in sorted(sets):
+        rep.setdefault(sets[i], i)
+    first = sorted((i for s, i in rep.items() if s))
+    want = {(a, b) for n, a in enumerate(first) for b in first[n + 1 :] if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    links, members = jaccard.join(df, k, num, den)
+    found = [tuple(r) for r in links.select("a", "b").collect()]
+    assert len(found) == len(want) and set(found) == want
+    many = {i: sum(i in link for link in want) for i in first}
+    assert sorted(tuple(r) for r in members.collect()) == sorted((i, rep[s] if s else None, many[rep[s]] if s else 0) for i, s in sets.items())
+    return want
+
+
+def test_every_link_of_the_whole_table(spark, sf):
+    docs = table(spark, sf, "documents")
+    assert check_links(docs, [(r.doc_id, r.text) for r in docs.collect()], 4, 85, 100)
+
+
+def test_links_within_a_group_are_all_there(spark):
+    """Twelve texts that differ in one last word each, a copy of one, a chain, and empty texts."""
+    rows = [(i, " ".join([*(f"w{j}" for j in range(60)), f"u{i}"])) for i in range(12)] + [(50, " ".join([*(f"w{j}" for j in range(60)), "u3"])), (60, ""), (61, None)]
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(i * 3, i * 3 + 80))) for i in range(6)]
+    want = check_links(spark.createDataFrame(rows, "doc_id long, text string"), rows, 4, 85, 100)
+    assert sum(b < 12 for _, b in want) == 66
+
+
 # Helpers and the pipeline
 
 

@@ -455,6 +455,33 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link, and per row of docs its class and number of links.
+
+    Links (a, b), a < b, are all pairs of alike representatives, one of each class of equal sets (its least
+    doc_id). Alike sets share one of their rarest n-grams, so no link is lost. Of rows: doc_id, representative
+    (null without n-grams or doc_id), n_links: those of the representative to other classes.
+    """
+    thin = written(set_hashes(docs, k), "sets")
+    known = thin.filter("doc_id is not null and n > 0")
+    classes = written(with_group_figures(known, "set_hash", F.col("doc_id"), {"rep": (F.col("doc_id"), "min")}).select("doc_id", "set_hash", "rep"), "classes")
+    reps = written(classes.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = written(sets_of(docs, reps, k), "grams")
+    rare = written(rarest(reps.select("id", F.col("id").alias("comp")), sets, num, den).drop("comp"), "rarest")
+    x, y = (rare.select("gram", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}")) for c in "ab")
+    # What two sets share comes after their first shared n-gram in either; it must be enough.
+    enough = (num + den) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= num * (F.col("n_a") + F.col("n_b"))
+    fit = (F.col("a") < F.col("b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & enough
+    pairs = written(x.join(y, "gram").filter(fit).select("a", "b").distinct(), "pairs")
+    links = written(verify(pairs, sets, num, den).distinct(), "found")
+    many = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n_links"))
+    of = classes.select("doc_id", F.col("set_hash"), F.col("rep").alias("representative")).distinct()
+    rows = thin.join(of, ["doc_id", "set_hash"], "left").join(many, "representative", "left")
+    for table in (sets, rare, pairs):
+        drop_written(table)
+    return links, rows.select("doc_id", "representative", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component, its least doc_id, with all columns; its repeated rows once.
 

@@ -102,6 +102,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+@query
+def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document; all links are found for it."""
+    from .jaccard import join
+
+    return join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)[1]
+
+
 #: Base 32 of a SHA-1: four letters for each five hex digits.
 _FIVE = "CAST('0x' || substr(s, 5 * k + 1, 5) AS BIGINT)"
 _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({v} >> {b}) & 31 AS INTEGER) + 1, 1)"
