@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from wayfarer.llm import bitpack, packing, pieces
+from wayfarer.llm import bitpack, packing, pieces, tokens
 from wayfarer.llm.queries import table, vocabulary_file
 from wayfarer.llm.tokens import ChunkEncoder
 
@@ -37,6 +37,22 @@ def test_cached_chunks_give_the_whole_texts_ids(name, cuts):
     assert cached.encode(None) == b""
 
 
+@pytest.mark.parametrize("piece,most", [(1 << 20, 10**6), (64, 200), (256, 50)])
+@pytest.mark.parametrize("name,cuts", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_batches_give_the_whole_texts_ids(monkeypatch, name, cuts, piece, most):
+    """Also with texts over many slices, and with a table that is forgotten again and again."""
+    monkeypatch.setattr(tokens, "SLICE", piece)
+    monkeypatch.setattr(tokens, "MOST_ENTRIES", most)
+    whole, batched, r = Tokenizer.from_file(vocabulary_file(name)), tokens.BatchEncoder(vocabulary_file(name), cuts), random.Random(1)
+    plain = [*"abT ,.!\né", "\n\n", "  ", " the", "\nThe", "averyveryverylongwordindeed", "…", "—"]
+    odd = [*plain, *"\t\x1c\x85\u0301İßΣσ-?|:;<>'\"½²_😀×÷\x00\u212a\xa0", "<|endoftext|>", "'s"]
+    for _ in range(100):
+        texts = ["".join(r.choices(plain if r.random() < 0.6 else odd, k=r.randint(0, 40))) if r.random() > 0.05 else None for _ in range(r.randint(0, 30))]
+        ids, offsets = batched.encode_with_end(pa.array(["before", *texts])[1:], 7)
+        want = [x.ids + [7] for x in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)] if texts else []
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.integers(0, 300), st.randoms())
 def test_packed_ids_come_back(width, n, r):

@@ -164,10 +164,9 @@ def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int |
     arrow_limits(spark)
     folder = folder or new_folder(spark, "ids")
     schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = encoder(tokenizer, cuts).encode, None
+        encode, writer = encoder(tokenizer, cuts).encode_with_end, None
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         for batch in batches:
@@ -176,8 +175,9 @@ def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int |
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 sink = store.open_output_stream(path)
                 writer = ShardWriter(sink, vocabulary)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                writer.add(doc_id, np.concatenate([np.frombuffer(encode(text.as_py()), "<u4"), end]))
+            ids, offsets = encode(batch.column(1), end_id)
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                writer.add(doc_id, ids[a:b])
         if writer is not None:
             writer.close()
             sink.close()

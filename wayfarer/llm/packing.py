@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches_of, written
+from .common import arrow_limits, release, written
 from .tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,18 +44,20 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cuts: str = "byte") -> DataFrame:
     """Tokenise whole documents (doc_id, text) and cut them: a row for each piece."""
     arrow_limits(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encode = encoder(tokenizer, cuts).encode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        encode = encoder(tokenizer, cuts).encode_with_end
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    yield doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])
+            ids, offsets = encode(batch.column(1), end_id)
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            rows = [(i, k, start, length, zlib.crc32(raw[4 * (a + start) : 4 * (a + start + length)])) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())) for k, (start, length) in enumerate(cut(b - a, capacity))]
+            if rows:
+                i, *columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), *(pa.array(c, t.type) for c, t in zip(columns, [*_PIECE_ARROW][1:]))], schema=_PIECE_ARROW)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda batches: batches_of(rows(batches), _PIECE_ARROW), PIECE)
+    return slim.mapInArrow(run, PIECE)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
