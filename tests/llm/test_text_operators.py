@@ -193,17 +193,25 @@ def test_fingerprints_awkward_rows(spark):
 
 
 def test_bytes_part_texts_of_one_fingerprint(spark):
-    """A made-up collision: texts that differ under one fingerprint fall into groups of their own."""
-    rows = [(1, "a"), (2, "b"), (3, "A"), (4, "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = fingerprint.fingerprint
-    marks = spark.createDataFrame([(1, "same"), (2, "same"), (3, "same"), (4, "own")], "doc_id long, fingerprint string")
-    try:
-        fingerprint.fingerprint = lambda canon: "same"
-        got = {r.doc_id: (r.group_id, r.group_size) for r in fingerprint.groups(df, marks).collect()}
-    finally:
-        fingerprint.fingerprint = kept
-    assert got.keys() == {1, 2, 3, 4}
+    """Made-up collisions: texts that differ under the same digests fall into groups of their own."""
+    rows = [(1, "a"), (2, "b"), (3, "A"), (4, "c"), (5, "d"), (5, "a"), (None, "b"), (None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = lambda canon: ("own", "own") if canon == b"c" else ("same", "same")
+    got = sorted(((r.doc_id or 0, r.group_id, r.group_size) for r in fingerprint.groups(df, marks).collect()), key=str)
+    assert got == sorted([(1, 1, 3), (2, 2, 2), (3, 1, 3), (4, 4, 1), (5, 5, 2), (5, 1, 3), (0, 2, 2), (0, 5, 2)], key=str)
+
+
+def test_fingerprint_groups_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(5, "a"), (5, "z"), (1, "a"), (2, "z"), (3, "z"), (None, "q"), (None, "Z"), (None, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.fingerprint): (r.group_id, r.group_size) for r in QUERIES["op6_fingerprint"](spark, str(tmp_path)).collect()}
+    of = lambda t: fingerprint.fingerprint(t.encode())
+    assert got == {(5, of("a")): (1, 2), (5, of("z")): (2, 4), (1, of("a")): (1, 2), (2, of("z")): (2, 4), (3, of("z")): (2, 4), (None, of("q")): (None, 1), (None, of("z")): (2, 4), (None, of("alone")): (None, 1)}
+
+
+def test_fingerprints_beyond_the_broadcast(spark, sf, texts, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BROADCAST_IDS", 0)
+    test_fingerprints_of_whole_table(spark, sf, texts)
 
 
 # Operator 7

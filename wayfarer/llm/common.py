@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
-__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "shared_dir", "to_batch", "with_group_figures", "written"]
+__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "shared_dir", "to_batch", "unused", "with_group_figures", "written"]
 
 #: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +71,14 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores in front until no column is called so; Spark's names don't tell case apart."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def with_group_figures(df: DataFrame, key: str, row: Column, figures: dict[str, tuple[Column, str]], salts: int | None = None) -> DataFrame:
     """Add to every row figures of its group, such as its least id, without gathering the group.
 
@@ -82,9 +90,10 @@ def with_group_figures(df: DataFrame, key: str, row: Column, figures: dict[str,
     spark = df.sparkSession
     salts = salts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     agg = {"min": F.min, "max": F.max, "sum": F.sum}
-    salted = df.withColumn("__key", F.col(key)).withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(salts)))
-    parts = salted.groupBy("__key", "__salt").agg(*[agg[how](value).alias(name) for name, (value, how) in figures.items()])
-    whole = Window.partitionBy("__key")
-    parts = parts.select(F.col("__key").alias("__k"), F.col("__salt").alias("__s"), *[agg[how](name).over(whole).alias(name) for name, (_, how) in figures.items()])
-    joined = salted.join(parts, salted["__key"].eqNullSafe(parts["__k"]) & (salted["__salt"] == parts["__s"]), "left")
-    return joined.drop("__key", "__salt", "__k", "__s")
+    own_key, own_salt, k, s = (unused(n, [*df.columns, *figures]) for n in ("key", "salt", "their_key", "their_salt"))
+    salted = df.withColumn(own_key, F.col(key)).withColumn(own_salt, F.pmod(F.xxhash64(row), F.lit(salts)))
+    parts = salted.groupBy(own_key, own_salt).agg(*[agg[how](value).alias(name) for name, (value, how) in figures.items()])
+    whole = Window.partitionBy(own_key)
+    parts = parts.select(F.col(own_key).alias(k), F.col(own_salt).alias(s), *[agg[how](name).over(whole).alias(name) for name, (_, how) in figures.items()])
+    joined = salted.join(parts, salted[own_key].eqNullSafe(parts[k]) & (salted[own_salt] == parts[s]), "left")
+    return joined.drop(own_key, own_salt, k, s)

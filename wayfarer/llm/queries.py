@@ -63,14 +63,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from .fingerprint import compare_neighbours, groups
+    from .fingerprint import compare_neighbours, with_groups
 
     docs = table(spark, sf_dir, "documents")
-    rows = compare_neighbours(docs)
-    sizes = groups(docs, rows.select("doc_id", "fingerprint")).select(F.col("doc_id").alias("__id"), "group_id", "group_size").dropDuplicates(["__id"])
-    return rows.join(sizes, rows["doc_id"].eqNullSafe(sizes["__id"]), "left").drop("__id")
+    return with_groups(docs, compare_neighbours(docs))
 
 
 @query
