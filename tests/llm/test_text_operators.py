@@ -138,21 +138,74 @@ def test_quality_random_texts():
         assert quality.figures_of(text)[:5] == figures(text), repr(text)
 
 
-def test_hosts_are_judged_and_clean_documents_stay(spark):
+def judged(rows):
+    """Brute force: doc index -> (host_rate, host_verdict, kept) of (text, host)."""
+    each = []
+    for text, host in rows:
+        n, chars, symbols, dup, repeated = figures(text)
+        lines = sum(1 for line in (text or "").split("\n") if WORD.search(line))
+        base = n < 50 or 100 * repeated > 50 * n
+        worst = max(symbols / n / 0.1, dup / lines / 0.3, 2.0 if chars < 2 * n or chars > 15 * n else 0.0) if n else 0.0
+        each.append((host, base, worst))
+    hosts = collections.defaultdict(lambda: [0, 0])
+    for host, base, worst in each:
+        hosts[host][0] += base or worst > 1
+        hosts[host][1] += 1
+    mean = sum(f for f, _ in hosts.values()) / len(rows)
+    mean = min(max(mean, 1e-6), 1 - 1e-6)
+    spread = sum((f / n - mean) ** 2 for f, n in hosts.values()) / len(hosts)
+    between = spread - mean * (1 - mean) * sum(1 / n for _, n in hosts.values()) / len(hosts)
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e4) if between > 1e-9 else 1e4
+    out = []
+    for host, base, worst in each:
+        f, n = hosts[host]
+        rate = (f + mean * strength) / (n + strength)
+        reach = 2 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5
+        verdict = "strict" if rate - reach > 1.5 * mean else "trusted" if rate + reach < mean / 1.5 else "normal"
+        out.append((rate, verdict, not base and worst <= {"strict": 1, "normal": 3, "trusted": 1e9}[verdict]))
+    return out
+
+
+def host_rows():
     r = random.Random(2)
     clean = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(80))
-    soft = lambda: " ".join([*(clean().split()), *(["#$"] * 20)])
-    rows = [(i, soft(), "bad") for i in range(60)] + [(100 + i, clean(), "bad") for i in range(20)] + [(200 + i, clean(), f"good{i % 5}") for i in range(300)] + [(600, soft(), "good1"), (601, None, None), (602, "", "good1"), (603, "few words", None), (None, clean(), None), (603, "few words", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as host", "2 as failed", "3 as kept", "4 as __host_")
-    got = {r.doc_id: r for r in quality.judge(df).collect()}
-    assert got[0].host_strict and not got[600].host_strict
-    assert not got[0].kept and got[100].kept and got[200].kept and got[600].kept and not got[601].kept and not got[602].kept
-    stay = quality.keep(df)
-    assert stay.columns == df.columns
-    assert sorted(x.doc_id or -1 for x in stay.collect()) == sorted(x.doc_id or -1 for x in quality.judge(df).filter("kept").collect())
+    marked = lambda k: " ".join([*clean().split(), *(["#"] * k)])
+    rows = [(i, marked(20), "bad") for i in range(60)] + [(100 + i, clean(), "bad") for i in range(20)] + [(200 + i, clean(), f"fine{i % 5}") for i in range(2000)]
+    rows += [(3000 + i, marked(20) if i < 10 else clean(), "middle") for i in range(200)]
+    rows += [(5000, marked(20), "fine1"), (5001, None, None), (5002, "", "fine1"), (5003, "few words", None), (5004, clean(), None), (5003, "few words", None), (5005, marked(70), "middle"), (5006, marked(70), "fine2")]
+    return rows
+
+
+def test_hosts_decide_about_documents(spark):
+    rows = host_rows()
+    want = judged([(t, h) for _, t, h in rows])
+    assert {v for _, v, _ in want} == {"strict", "normal", "trusted"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as host", "2 as failed", "3 as kept", "4 as key", "5 as salt", "6 as severity")
+    got = sorted((r.doc_id, r.host_verdict, r.kept, round(r.host_rate, 9)) for r in quality.judge(df).collect())
+    assert got == sorted((i, v, k, round(rate, 9)) for (i, _, _), (rate, v, k) in zip(rows, want))
+    kept = {i: k for (i, _, _), (_, _, k) in zip(rows, want)}
+    # Of equal texts, a strict host's go, a normal one's stay up to a limit, a trusted one's stay.
+    assert not kept[0] and kept[100] and kept[3000] and kept[5000] and not kept[5005] and kept[5006] and not kept[5001]
+
+
+def test_kept_rows_are_whole(spark, monkeypatch):
+    rows = host_rows()
+    want = sorted(i for (i, _, _), (_, _, k) in zip(rows, judged([(t, h) for _, t, h in rows])) if k)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as host", "2 as limit", "3 as salt", "4 as _salt", "5 as part")
+    for most in (quality.BROADCAST_HOSTS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_HOSTS", most)
+        stay = quality.keep(df)
+        assert stay.columns == df.columns and sorted(x.doc_id for x in stay.collect()) == want
     assert quality.judge(df.limit(0)).collect() == [] and quality.keep(df.limit(0)).collect() == []
 
 
+def test_quality_verdicts_of_whole_table(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text", "source").collect()
+    want = {r.doc_id: (v, k) for r, (_, v, k) in zip(rows, judged([(r.text, r.source) for r in rows]))}
+    got = {r.doc_id: (r.host_verdict, r.kept) for r in QUERIES["op5_quality"](spark, sf).collect()}
+    assert got == want
+
+
 # Operator 6
 
 
