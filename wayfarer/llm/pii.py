@@ -11,8 +11,11 @@ must reach 0.5, and they must not overlap a base span.
 Patterns start only where a run of their first characters starts or the previous match ended (\\G),
 and repeat possessively: the same matches as the plain forms, in linear time and constant stack.
 
-Null texts count as empty; null and repeated doc_ids are rows like others; other columns are left
-alone by redact() and out of find()'s result.
+Running figures, such as positions, go along matches in fold(): BLOCK at a time, so that results are not
+copied once for each match, and the time is linear in the matches.
+
+Null texts count as empty; null and repeated doc_ids are rows like others; other columns, whatever
+their names, are left alone. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BEFORE, AFTER, ENOUGH = 60, 30, 0.5
 #: No pattern matches fewer characters.
 SHORTEST = 4
 #: Characters of a ``rest``, at most: 30 with a space before each.
 LONGEST_REST = 60
+#: Results that fold() gathers before it hands them on.
+BLOCK = 128
 
 
 def _digits(match: Column) -> Column:
@@ -89,6 +96,28 @@ KINDS = (
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
+_CUT = "struct<start:int,end:int,kind:string>"
+
+
+def fold(count: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column]]) -> Column:
+    """Array of the values that step(state, i) gives, for i from 0 to count - 1: (next state, whether it gives one, value)."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(so_far: Column, i: Column) -> Column:
+        after, gives, value = step(so_far, i)
+        held = F.when(gives, F.concat(so_far["held"], F.array(value))).otherwise(so_far["held"])
+        return F.struct(*[after[k].alias(k) for k in state], held.alias("held"))
+
+    def block(so_far: Column, b: Column) -> Column:
+        first = F.struct(*[so_far[k].alias(k) for k in state], none.alias("held"))
+        inner = F.aggregate(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, count) - 1), first, one)
+        # An array of one, so that what the block gives is worked out once.
+        done = F.transform(F.array(inner), lambda x: F.struct(*[x[k].alias(k) for k in state], F.concat(so_far["blocks"], F.array(x["held"])).alias("blocks")))
+        return F.element_at(done, 1)
+
+    start = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<array<{kind}>>").alias("blocks"))
+    run = F.aggregate(F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")), start, block, lambda x: F.flatten(x["blocks"]))
+    return F.when(count > 0, run).otherwise(none)
 
 
 def _score(kind: Kind, before: Column, after: Column) -> Column:
@@ -116,7 +145,7 @@ def _spans(kind: Kind, rank: int, between: Column, matches: Column, rests: Colum
         pieces = F.transform(F.sequence(F.lit(1), F.lit(-(-reach // SHORTEST))), lambda j: F.array(F.left(F.get(between, i + j), F.lit(reach)), F.get(matches, i + j)))
         return F.left(F.array_join(F.flatten(pieces), ""), F.lit(reach))
 
-    def step(so_far: Column, i: Column) -> Column:
+    def step(so_far: Column, i: Column) -> tuple[dict[str, Column], Column, Column]:
         gap, match = F.get(between, i), F.get(matches, i)
         before = F.right(F.concat(so_far["before"], gap), F.lit(BEFORE))
         after = ahead(i, AFTER)
@@ -132,27 +161,51 @@ def _spans(kind: Kind, rank: int, between: Column, matches: Column, rests: Colum
         score = _score(kind, before, after)
         passed = passed if kind.base else passed & (score >= ENOUGH)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
-        spans = F.when(passed, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"])
         last = F.when(passed, end).otherwise(so_far["end"])
-        return F.struct(at.alias("at"), last.alias("end"), F.right(F.concat(before, match), F.lit(BEFORE)).alias("before"), spans.alias("spans"))
+        return {"at": at, "end": last, "before": F.right(F.concat(before, match), F.lit(BEFORE))}, passed, span
+
+    return fold(F.size(matches), {"at": F.lit(0), "end": F.lit(0), "before": F.lit("")}, _SPAN, step)
+
+
+def _apart_left(spans: Column) -> Column:
+    """Spans in order, with ok: no base span that starts before a span that isn't base, or with it, reaches into it."""
+
+    def step(so_far: Column, i: Column) -> tuple[dict[str, Column], Column, Column]:
+        x = F.get(spans, i)
+        base = x["rank"] < len(BASE)
+        value = F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "score")], (base | (so_far["reach"] <= x["start"])).alias("ok"))
+        return {"reach": F.when(base, F.greatest(so_far["reach"], x["end"])).otherwise(so_far["reach"])}, F.lit(True), value
+
+    return fold(F.size(spans), {"reach": F.lit(0)}, _SPAN.replace(">", ",ok:boolean>"), step)
+
+
+def _apart_right(spans: Column) -> Column:
+    """Of spans in reverse order those that are ok and that no later base span begins within."""
+
+    def step(so_far: Column, i: Column) -> tuple[dict[str, Column], Column, Column]:
+        x = F.get(spans, i)
+        base = x["rank"] < len(BASE)
+        value = F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "score")])
+        return {"next": F.when(base, x["start"]).otherwise(so_far["next"])}, base | (x["ok"] & (so_far["next"] >= x["end"])), value
 
-    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("before"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    run = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), none, step, lambda x: x["spans"])
-    return F.when(F.size(matches) > 0, run).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return fold(F.size(spans), {"next": F.lit((1 << 31) - 1)}, _SPAN, step)
 
 
 def find(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
     """Add the accepted spans of every whole text: array of (start, rank, end, kind, score), by start, then kind as listed."""
     body = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.columns
-    out = docs.withColumns({f"__m_{k.name}": F.when(body.rlike(k.gate), F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS})
-    out = out.withColumns({f"__b_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split(body, k.pattern, -1)) for k in KINDS})
-    out = out.withColumns({f"__r_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.regexp_extract_all(body, F.lit(k.pattern + k.rest), F.lit(1))) for k in KINDS if k.rest})
-    out = out.withColumns({f"__s_{k.name}": _spans(k, i, F.col(f"__b_{k.name}"), F.col(f"__m_{k.name}"), F.col(f"__r_{k.name}") if k.rest else None) for i, k in enumerate(KINDS)})
-    out = out.withColumn("__base", F.concat(*[F.col(f"__s_{k.name}") for k in KINDS if k.base]))
-    out = out.withColumn("__more", F.concat(*[F.col(f"__s_{k.name}") for k in KINDS if not k.base]))
-    apart = F.filter("__more", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return out.select(*kept, F.array_sort(F.concat("__base", F.when(F.size("__more") > 0, apart).otherwise(F.col("__more")))).alias(into))
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    m, b, r, s = ({k.name: unused(f"{what}_{k.name}", [*docs.columns, into]) for k in KINDS} for what in ("matches", "between", "rests", "found"))
+    every, left = (unused(n, [*docs.columns, into]) for n in ("every_span", "spans_apart"))
+    out = docs.withColumns({m[k.name]: F.when(body.rlike(k.gate), F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS})
+    out = out.withColumns({b[k.name]: F.when(F.size(m[k.name]) > 0, F.split(body, k.pattern, -1)) for k in KINDS})
+    out = out.withColumns({r[k.name]: F.when(F.size(m[k.name]) > 0, F.regexp_extract_all(body, F.lit(k.pattern + k.rest), F.lit(1))) for k in KINDS if k.rest})
+    out = out.withColumns({s[k.name]: _spans(k, i, F.col(b[k.name]), F.col(m[k.name]), F.col(r[k.name]) if k.rest else None) for i, k in enumerate(KINDS)})
+    of = lambda base: [F.size(s[k.name]) for k in KINDS if k.base == base]
+    mixed = (sum(of(True), F.lit(0)) > 0) & (sum(of(False), F.lit(0)) > 0)
+    out = out.withColumn(every, F.array_sort(F.concat(*[F.col(s[k.name]) for k in KINDS])))
+    out = out.withColumn(left, F.when(mixed, F.reverse(_apart_left(F.col(every)))))
+    return out.select(*kept, F.when(F.col(left).isNotNull(), F.reverse(_apart_right(F.col(left)))).otherwise(F.col(every)).alias(into))
 
 
 def joined(spans: Column) -> Column:
@@ -178,33 +231,33 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     Texts are cut as four-byte code points, so each cut costs only its own length. A text without
     spans, null included, stays as it is. n_chars, where the table has it, follows the new text.
     """
-    found = find(docs.withColumn("__text", F.col(text)), "__text", "__spans")
+    spans, cuts, wide = (unused(n, docs.columns) for n in ("spans", "cuts", "wide"))
+    found = find(docs, text, spans)
 
-    def merge(so_far: Column, x: Column) -> Column:
-        last = F.element_at(so_far, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        head = F.slice(so_far, 1, F.greatest(F.size(so_far) - 1, F.lit(0)))
-        return F.when((F.size(so_far) > 0) & (F.get(so_far, F.size(so_far) - 1)["end"] > x["start"]), F.concat(head, F.array(wider))).otherwise(F.concat(so_far, F.array(own)))
+    def merge(so_far: Column, i: Column) -> tuple[dict[str, Column], Column, Column]:
+        x, last = F.get(spans, i), F.struct(*[so_far[c].alias(c) for c in ("start", "end", "kind")])
+        wider = (i < F.size(spans)) & (so_far["end"] > x["start"])
+        after = {c: F.when(wider, F.greatest(so_far["end"], x["end"]) if c == "end" else so_far[c]).otherwise(x[c]) for c in ("start", "end", "kind")}
+        return after, ~wider & (so_far["end"] >= 0), last
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    merged = found.withColumn("__cuts", F.when(F.size("__spans") > 0, F.aggregate("__spans", none, merge)))
-    merged = merged.withColumn("__wide", F.when(F.col("__cuts").isNotNull(), F.encode("__text", "UTF-32")))
+    # One step more than there are spans gives the last cut.
+    merged = found.withColumn(cuts, F.when(F.size(spans) > 0, fold(F.size(spans) + 1, {"start": F.lit(-1), "end": F.lit(-1), "kind": F.lit("")}, _CUT, merge)))
+    merged = merged.withColumn(wide, F.when(F.col(cuts).isNotNull(), F.encode(text, "UTF-32")))
 
     def part(start: Column, length: Column) -> Column:
         # A character in front keeps a byte-order mark at the cut from being dropped.
-        raw = F.concat(F.lit(bytearray(b"\0\0\0x")), F.substring(F.col("__wide"), start * 4 + 1, length * 4))
+        raw = F.concat(F.lit(bytearray(b"\0\0\0x")), F.substring(F.col(wide), start * 4 + 1, length * 4))
         return F.substring(F.decode(raw, "UTF-32"), F.lit(2), length)
 
     def piece(x: Column, i: Column) -> Column:
-        begin = F.when(i == 0, 0).otherwise(F.get(F.col("__cuts"), i - 1)["end"])
+        begin = F.when(i == 0, 0).otherwise(F.get(F.col(cuts), i - 1)["end"])
         return F.concat(part(begin, x["start"] - begin), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
 
-    tail = F.element_at("__cuts", -1)["end"]
-    rest = part(tail, F.length("__text") - tail)
-    new = F.when(F.col("__cuts").isNotNull(), F.concat(F.array_join(F.transform("__cuts", piece), ""), rest)).otherwise(F.col("__text"))
+    tail = F.element_at(cuts, -1)["end"]
+    rest = part(tail, F.length(text) - tail)
+    new = F.when(F.col(cuts).isNotNull(), F.concat(F.array_join(F.transform(cuts, piece), ""), rest)).otherwise(F.col(text))
     out = merged.withColumn(text, new)
     if n_chars and n_chars in docs.columns:
         kind = docs.schema[n_chars].dataType
-        out = out.withColumn(n_chars, F.when(F.col("__cuts").isNotNull(), F.length(text).cast(kind)).otherwise(F.col(n_chars)))
+        out = out.withColumn(n_chars, F.when(F.col(cuts).isNotNull(), F.length(text).cast(kind)).otherwise(F.col(n_chars)))
     return out.select(*docs.columns)
