@@ -18,8 +18,9 @@ pivot. First every document is compared with its most frequent pivot, and the li
 components. Then only documents of a bucket that are still in different components are compared, in
 rounds: with the pivot first, with each other last, until nothing is left to compare. Of the last, two are
 compared if they also share one of their rarest n-grams, as alike sets must: of n n-grams all but
-the ceil(t * n) - 1 last in an order of how common they are. All comparisons are exact, on 64-bit
-n-gram hashes.
+the ceil(t * n) - 1 last in an order of how common they are. Before sets are moved to be compared, a bound on
+what they can share, from the numbers of n-grams in CELLS cells, drops pairs that can't be alike. All
+comparisons are exact, on 64-bit n-gram hashes.
 
 Null and empty texts, and texts without words, have no n-grams and are linked with nothing. Rows with
 the same doc_id count as one document. Rows with a null doc_id are linked with nothing; their
@@ -29,6 +30,7 @@ component_id is null. An empty table gives no row.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -36,10 +38,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import arrow_limits, drop_written, free_shuffles, release, with_group_figures, written
+from .common import arrow_limits, drop_written, free_shuffles, release, unused, with_group_figures, written
 
 #: Ids that are broadcast to choose documents; beyond, they meet the documents in a shuffle.
 BROADCAST_IDS = 500_000
@@ -47,8 +50,10 @@ BROADCAST_IDS = 500_000
 LARGE_BUCKET = 64
 #: Keys that a map task combines at a time, and that the task of a part of the index gets, about.
 FLUSH_KEYS, PART_KEYS = 1 << 18, 3 << 17
-#: Counters of how common n-grams are.
-COUNTERS = 1 << 20
+#: Counters of how common n-grams are; of 4 bytes each, on the driver and with every task.
+COUNTERS = 1 << 19
+#: Cells of a set's histogram, a byte each, and pairs that one row of a set meets.
+CELLS, MEETS = 128, 512
 _U = np.uint64
 _ODD = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -203,14 +208,22 @@ def set_hashes(docs: DataFrame, k: int) -> DataFrame:
     return _slim(docs).mapInArrow(run, "doc_id long, n long, set_hash binary")
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """Numbers of n-grams in CELLS cells, 255 at most."""
+    return np.minimum(np.bincount((grams % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and grams (the set, eight bytes each) of the documents with these ids."""
+    """id, n, cells (the histogram) and grams (the set, eight bytes each) of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(_text(t), k).tobytes() for t in batch.column(1)], pa.binary())], ["id", "grams"])
+            found = [shingles(_text(t), k) for t in batch.column(1)]
+            columns = pa.array([len(g) for g in found], pa.int64()), pa.array(map(histogram, found), pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "cells", "grams"])
 
-    return chosen(_slim(docs), ids.select(F.col("id").alias("doc_id")), "left_semi").mapInArrow(run, "id long, grams binary")
+    return chosen(_slim(docs), ids.select(F.col("id").alias("doc_id")), "left_semi").mapInArrow(run, "id long, n long, cells binary, grams binary")
 
 
 def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -304,7 +317,7 @@ def rarest(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     where n-grams share one only the order, the same for all sets, is less good.
     """
     spark = members.sparkSession
-    held = sets.join(members, "id").select("id", "comp", "grams")
+    held = sets.join(few(members), "id").select("id", "comp", "grams")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -312,11 +325,11 @@ def rarest(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             for grams in batch.column(0):
                 np.add.at(total, (np.frombuffer(_text(grams), np.uint64) % _U(COUNTERS)).astype(np.int64), 1)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "many"])
 
-    counts = held.select("grams").mapInArrow(tally, "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many")).filter("many > 1").toArrow()
+    counts = held.select("grams").mapInArrow(tally, "cell int, many long").groupBy("cell").agg(F.least(F.sum("many"), F.lit(1 << 30)).cast("int").alias("many")).filter("many > 1").toArrow()
     many = np.ones(COUNTERS, np.int32)
-    many[counts.column("cell").to_numpy()] = np.minimum(counts.column("many").to_numpy(), 1 << 30)
+    many[counts.column("cell").to_numpy()] = counts.column("many").to_numpy()
     shared = spark.sparkContext.broadcast(many)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +349,41 @@ def rarest(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return held.mapInArrow(order, "gram long, id long, comp long, n int, at int")
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: members (id, comp) of different comp that share one of their rarest n-grams, and enough after it to be alike."""
+    rare = rarest(members, sets, num, den)
+    x, y = (rare.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "at")]) for side in "ab")
+    # What two sets share comes after their first shared n-gram in either; it must be enough.
+    enough = (num + den) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= num * (F.col("n_a") + F.col("n_b"))
+    fit = (F.col("comp_a") < F.col("comp_b")) & _sizes_fit("n_a", "n_b", num, den) & enough
+    return x.join(y, "gram").filter(fit).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _sizes_fit(x: str, y: str, num: int, den: int) -> Column:
+    return den * F.least(x, y) >= num * F.greatest(x, y)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, which is written, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    """Those of the pairs (a, b) whose sets are similar enough. pairs and sets are written tables.
+
+    Pairs go to the sets of b where these lie, if they are few. Only pairs that pass the bound from
+    the histograms move a set, which goes to a's. A set that many pairs need is there once for each MEETS of them.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = [np.frombuffer(b"".join(_text(c) for c in batch.column(i)), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5)]
+            apart = np.abs(cells[0] - cells[1]).sum(1, dtype=np.int64)
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            good = (num + den) * (sizes - apart) >= 2 * num * sizes
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,11 +396,24 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 good.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x, y = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+    def dealt(pairs: DataFrame) -> DataFrame:
+        """pairs with part: at most about MEETS pairs share (a, part)."""
+        many = pairs.groupBy("a").agg(F.count("*").alias("many")).filter(F.col("many") > MEETS)
+        hot = pairs.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, "a", "left")
+        return hot.select("a", "b", F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / MEETS))).cast("int").alias("part"))
 
+    def met(pairs: DataFrame, held: list[str]) -> DataFrame:
+        """a, b and what sets hold of both."""
+        pairs = dealt(pairs)
+        x, y = (sets.select(F.col("id").alias(c), *[F.col(h).alias(f"{h}_{c}") for h in held]) for c in "ab")
+        needed = x.join(few(pairs.select("a", "part").distinct()), "a")
+        return y.join(few(pairs), "b").join(needed, ["a", "part"]).select("a", "b", *[f"{h}_{c}" for h in held for c in "ab"])
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+    close = written(met(pairs, ["n", "cells"]).mapInArrow(near, "a long, b long"), "close")
+    return met(close, ["grams"]).mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(id, comp): the least id that links (a, b) lead to, of every id in a link. Ends when nothing changes.
 
     Each round takes the least label among neighbours, then the label of that label.
@@ -378,12 +437,15 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
 
     Documents link when den * common n-grams >= num * n-grams of either.
     """
-    passing: list[DataFrame] = []
+    passing: dict[str, DataFrame] = {}
 
     def keep(df: DataFrame, label: str) -> DataFrame:
-        passing.append(written(df, label))
-        free_shuffles(docs.sparkSession)
-        return passing[-1]
+        """Write a table; the last one of this label goes."""
+        table = written(df, label)
+        if label in passing:
+            drop_written(passing[label])
+        passing[label] = table
+        return table
 
     thin = written(set_hashes(docs, k), "sets")
     known = thin.filter("doc_id is not null and n > 0")
@@ -394,61 +456,47 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     total = classes.filter("rep = doc_id").agg(F.sum("n")).first()[0] or 0
     live = keep(index(reps, k, num, den, max(8, int(total * 2.4 * (den - num) / num) // PART_KEYS + 1)), "buckets")
 
-    # All rows of live buckets, each with its bucket's size and the pivot of all.
+    free_shuffles(docs.sparkSession)  # the index was the largest
+    # All rows of live buckets, each with its bucket's size.
     heads = live.filter("size is not null")
+    whole = heads.groupBy("key").agg(F.max("size").alias("all"))
     small = F.broadcast if heads.count() <= BROADCAST_IDS else (lambda x: x)
-    whole = heads.groupBy("key").agg(F.max("size").alias("all"), F.min("pivot").alias("top"))
-    rows = heads.select("key", "id", "n", "scheme", "allow", F.col("pivot").alias("top"), F.col("size").alias("all"))
-    hung = live.filter("size is null").join(small(whole), "key").select("key", "id", "n", "scheme", "allow", "top", "all")
+    rows = heads.select("key", "id", "n", "scheme", "allow", F.col("size").alias("all"))
+    hung = live.filter("size is null").join(small(whole), "key").select("key", "id", "n", "scheme", "allow", "all")
     rows = rows.unionByName(hung).distinct()
     # Large buckets count only for documents that have too many of them.
     large_rows = rows.filter(F.col("all") > large)
     heavy = large_rows.groupBy("id", "scheme").agg(F.count("*").alias("many"), F.max("allow").alias("allow")).filter("many > allow").select("id", "scheme")
     rows = rows.filter(F.col("all") <= large).unionByName(large_rows.join(heavy, ["id", "scheme"], "left_semi"))
-    members = rows = keep(rows.select("key", "id", "n", "top"), "members")
-    drop_written(live)
-    pivots = rows.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("left")).filter("left > 1")
-    sized = rows.groupBy("id").agg(F.max("n").alias("n"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        x, y = (sized.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-        fit = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-        return pairs.join(x, "a").join(y, "b").filter(fit).select("a", "b")
-
-    # For alike(), which reads sizes later, these stay: a row a document.
-    sized = keep(sized, "sizes")
-    rows = keep(rows.drop("top").join(pivots.select("key", "top"), "key"), "members")
-    drop_written(members)
-    ids = keep(rows.select("id").distinct(), "ids")
-    sets = keep(sets_of(reps, ids, k), "grams")
-    spokes = rows.filter("id <> top").groupBy("id", "top").count().groupBy("id").agg(F.max_by("top", F.struct("count", -F.col("top"))).alias("top"))
-    tried = keep(alike(spokes.select(F.col("top").alias("a"), F.col("id").alias("b"))), "pairs")
-    links = keep(verify(tried, sets, num, den), "found")
+    members = keep(rows.select("key", "id", "n"), "members")
+    drop_written(passing.pop("buckets"))
+    pivots = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("top"), F.count("*").alias("left")).filter("left > 1")
+    base = keep(members.join(pivots.select("key", F.col("top.id").alias("top"), F.col("top.n").alias("top_n")), "key"), "apart")
+    drop_written(passing.pop("members"))
+    sets = keep(sets_of(reps, keep(base.select("id").distinct(), "ids"), k), "grams")
+    fit = _sizes_fit("n", "top_n", num, den)
+    spokes = base.filter((F.col("id") != F.col("top")) & fit).groupBy("id", "top").count().groupBy("id").agg(F.max_by("top", F.struct("count", -F.col("top"))).alias("top"))
+    tried = keep(spokes.select(F.col("top").alias("a"), F.col("id").alias("b")), "pairs0")
+    links = keep(verify(tried, sets, num, den), "found0")
     repeats = classes.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    for step in ("pivot", "pivot", "all"):
-        comps = components(links)
-        placed = rows.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        # The pivot of a bucket is now the least id of its least component.
-        apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "id"))["id"].alias("top")).filter("lo <> hi")
-        placed = keep(placed.join(apart.select("key", "lo", "top"), "key"), "apart")
-        if placed.isEmpty():
+    for number, step in enumerate(("pivot", "pivot", "all"), 1):
+        free_shuffles(docs.sparkSession)
+        comps = keep(components(links), "comps")
+        placed = base.select("key", "id", "n").join(few(comps), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+        # The pivot of a bucket is now the least id of its least component. Other buckets have nothing left to compare.
+        apart = placed.groupBy("key").agg(F.max("comp").alias("hi"), F.min(F.struct("comp", "id", "n")).alias("top")).filter("top.comp <> hi")
+        apart = apart.select("key", F.col("top.comp").alias("lo"), F.col("top.id").alias("top"), F.col("top.n").alias("top_n"))
+        base = keep(placed.join(apart, "key"), "apart")
+        if base.isEmpty():
             break
         if step == "pivot":
-            pairs = placed.filter("comp <> lo").select(F.col("top").alias("a"), F.col("id").alias("b"))
+            pairs = base.filter((F.col("comp") != F.col("lo")) & fit).select(F.least("top", "id").alias("a"), F.greatest("top", "id").alias("b")).distinct()
         else:
-            rare = keep(rarest(placed.groupBy("id").agg(F.min("comp").alias("comp")), sets, num, den), "rarest")
-            y = rare.select("gram", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-            # What two sets share comes after their first shared n-gram in either; it must be enough.
-            enough = (num + den) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= num * (F.col("n") + F.col("n_b"))
-            fit = (F.col("comp") < F.col("comp_b")) & (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & enough
-            pairs = rare.withColumnRenamed("gram", "g").join(y, (F.col("g") == F.col("gram")) & fit).select(F.col("id").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = keep(alike(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = keep(verify(pairs, sets, num, den), "found")
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
+            pairs = rare_pairs(keep(base.groupBy("id").agg(F.min("comp").alias("comp")), "left"), sets, num, den)
+        pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{number}")
+        links, tried = links.unionByName(keep(verify(pairs, sets, num, den), f"found{number}")), tried.unionByName(pairs)
     comps = components(links.unionByName(repeats))
-    for table in passing:  # all that is needed of them is in comps
+    for table in passing.values():  # all that is needed of them is in comps
         drop_written(table)
     # A row's component: that of its class, or itself.
     labelled = thin.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -467,31 +515,39 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     classes = written(with_group_figures(known, "set_hash", F.col("doc_id"), {"rep": (F.col("doc_id"), "min")}).select("doc_id", "set_hash", "rep"), "classes")
     reps = written(classes.select(F.col("rep").alias("id")).distinct(), "ids")
     sets = written(sets_of(docs, reps, k), "grams")
-    rare = written(rarest(reps.select("id", F.col("id").alias("comp")), sets, num, den).drop("comp"), "rarest")
-    x, y = (rare.select("gram", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}")) for c in "ab")
-    # What two sets share comes after their first shared n-gram in either; it must be enough.
-    enough = (num + den) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= num * (F.col("n_a") + F.col("n_b"))
-    fit = (F.col("a") < F.col("b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & enough
-    pairs = written(x.join(y, "gram").filter(fit).select("a", "b").distinct(), "pairs")
+    pairs = written(rare_pairs(written(reps.select("id", F.col("id").alias("comp")), "left"), sets, num, den), "pairs")
     links = written(verify(pairs, sets, num, den).distinct(), "found")
     many = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n_links"))
     of = classes.select("doc_id", F.col("set_hash"), F.col("rep").alias("representative")).distinct()
     rows = thin.join(of, ["doc_id", "set_hash"], "left").join(many, "representative", "left")
-    for table in (sets, rare, pairs):
+    for table in (sets, pairs):
         drop_written(table)
     return links, rows.select("doc_id", "representative", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, its least doc_id, with all columns; its repeated rows once.
+    """docs with one document of each component, its least doc_id, with all columns.
 
+    Of rows with one doc_id and equal sets of n-grams one stays; rows with one doc_id and other sets stay.
     Rows without n-grams or doc_id stay.
     """
     found = clusters(docs, k, num, den)
     gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     stay = chosen(docs, gone, "left_anti")
-    again = written(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    again = written(found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return stay
-    once = chosen(stay, again, "left_semi").dropDuplicates(["doc_id"])
+    few_rows, mark = chosen(docs, again, "left_semi"), unused("set_hash", docs.columns)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = batch_columns.index("text")
+        for batch in batches:
+            sets = [shingles(_text(t.cast(pa.string())), k) for t in batch.column(at)]
+            # Rows without n-grams differ from each other.
+            marks = [xxhash.xxh3_128_digest(g.tobytes()) if len(g) else uuid.uuid4().bytes for g in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*batch_columns, mark])
+
+    batch_columns = docs.columns
+    schema = StructType([*docs.schema.fields, StructField(mark, BinaryType())])
+    once = chosen(few_rows, gone, "left_anti").select(*docs.columns).mapInArrow(hashed, schema).dropDuplicates(["doc_id", mark])
     return chosen(stay, again, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
