@@ -1,10 +1,14 @@
 """Walks against plain Python with the same draws, and their statistics."""
 
+import math
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wayfarer.functions.draws import ACCEPT, JUMP, NEIGHBOUR, SOURCE, TELEPORT, draw, draw_value, teleport_limit
 from wayfarer.operators import results, schedule, structure, walk
+from wayfarer.operators.sampling import SCALE
 from wayfarer.operators.walk import WalkSpec
 from wayfarer.plans import queries
 from wayfarer.plans.fixtures import customer_part, customer_supplier
@@ -14,13 +18,12 @@ def plain(edges, n, spec):
     """Walks in plain Python."""
     nbrs, weights = {}, {}
     for src, dst, w, _ in sorted(edges, key=lambda e: (e[0], e[3])):
+        w = w if isinstance(w, int) else math.floor(w * SCALE + 0.5)
         nbrs.setdefault(src, []).append(dst)
         weights.setdefault(src, []).append(w)
     known = {(e[0], e[1]) for e in edges}
     from wayfarer.operators.sampling import alias_slots
-    import numpy as np
-
-    tables = {v: alias_slots(np.array(w)) for v, w in weights.items()} if spec.weighting == "alias" else {}
+    tables = {v: alias_slots(w) for v, w in weights.items()} if spec.weighting == "alias" else {}
     out = []
     for i in range(spec.num_walks):
         pos = source = draw_value(spec.seed, SOURCE, i, 0) % n
@@ -29,7 +32,7 @@ def plain(edges, n, spec):
         for k in range(spec.steps):
             near = nbrs.get(pos, [])
             r = draw_value(spec.seed, NEIGHBOUR, i, k)
-            if near and draw_value(spec.seed, TELEPORT, i, k) > teleport_limit(spec.teleport):
+            if near and (spec.weighting == "uniform" or sum(weights[pos])) and draw_value(spec.seed, TELEPORT, i, k) > teleport_limit(spec.teleport):
                 if spec.weighting == "uniform":
                     to = near[r % len(near)]
                 elif spec.weighting == "alias":
@@ -84,6 +87,92 @@ def test_second_order_with_hubs(spark, sf):
     assert got == plain([tuple(r) for r in g.edges.select("src", "dst", "weight", "pos").collect()], g.nvertices, spec)
 
 
+@pytest.mark.parametrize("weighting", ["uniform", "prefix", "alias", "second_order"])
+def test_walks_over_hubs_equal_plain_ones(spark, sf, weighting, monkeypatch):
+    """With few neighbours to a row most vertices are hubs."""
+    monkeypatch.setattr(walk, "PACK", 16)
+    g = customer_supplier(spark, sf)
+    g = structure.Graph(g.edges.withColumn("weight", (F.col("dst") * 7 % 5).cast("long")).persist(), g.nvertices, g.nedges)
+    spec = WalkSpec(40, 4, 0.1, weighting=weighting, seed=9)
+    got = sorted(tuple(r) for r in walk.paths(g, spec, "join").select("walk_id", "step", "pos").collect())
+    assert got == plain([tuple(r) for r in g.edges.select("src", "dst", "weight", "pos").collect()], g.nvertices, spec)
+
+
+@pytest.mark.parametrize("weighting", ["prefix", "alias", "second_order"])
+def test_fractional_weights(spark, weighting):
+    """Shares by chi-square, and walks against plain ones."""
+    weights = [0.25, 0.75, 0.1, 1.9, 0.0, 3.0]
+    g = structure.graph(spark.createDataFrame([(0, i + 1, w, i) for i, w in enumerate(weights)] + [(i + 1, 0, 0.5, 0) for i in range(6)], "src long, dst long, weight double, ord long"))
+    spec = WalkSpec(3000, 4, 0.0, weighting=weighting, seed=1, bias=(1, 1, 1))
+    rows = [tuple(r) for r in walk.paths(g, spec, "join").select("walk_id", "step", "pos").collect()]
+    assert sorted(rows) == plain([tuple(r) for r in g.edges.select("src", "dst", "weight", "pos").collect()], 7, spec)
+    at = {(i, k): pos for i, k, pos in rows}
+    hits = [0] * 7
+    for (i, k), pos in at.items():
+        if k and at[i, k - 1] == 0:
+            hits[pos] += 1
+    total = sum(hits)
+    assert hits[5] == 0 and total > 4000
+    assert sum((hits[i + 1] - total * w / 6) ** 2 / (total * w / 6) for i, w in enumerate(weights) if w) < 18.5  # 4 degrees of freedom, 0.001
+
+
+def test_weights_that_cannot_be_used_are_refused(spark):
+    for bad in (-1.0, float("nan"), float("inf"), 1e-12, 1e12):
+        g = structure.graph(spark.createDataFrame([(0, 1, bad, 0)], "src long, dst long, weight double, ord long"))
+        with pytest.raises(PySparkException):
+            walk.paths(g, WalkSpec(1, 1, weighting="prefix")).collect()
+
+
+def test_all_weights_zero_means_a_jump(spark):
+    g = structure.graph(spark.createDataFrame([(0, 1, 0.0, 0), (1, 0, 0.0, 0)], "src long, dst long, weight double, ord long"))
+    for weighting in ("prefix", "alias", "second_order"):
+        assert walk.paths(g, WalkSpec(5, 3, 0.0, weighting=weighting)).count() == 20
+
+
+def test_a_rule_of_ones_own(spark, g):
+    """Whole-number weights from the neighbour and the walk: here never back, and only even vertices."""
+
+    def rule(x, at, known):
+        return F.when((x["dst"] == at["prev"]) | (x["dst"] % 2 == 1), 0).otherwise(x["units"])
+
+    spec = WalkSpec(100, 6, 0.1, weighting=rule, seed=2)
+    near = {}
+    for r in g.edges.orderBy("src", "pos").collect():
+        near.setdefault(r.src, []).append((r.dst, r.weight))
+    want = []
+    for i in range(100):
+        pos, prev = draw_value(2, SOURCE, i, 0) % g.nvertices, None
+        want.append((i, 0, pos))
+        for k in range(6):
+            w = [0 if d == prev or d % 2 else x for d, x in near.get(pos, [])]
+            if sum(w) and draw_value(2, TELEPORT, i, k) > teleport_limit(0.1):
+                left, j = draw_value(2, NEIGHBOUR, i, k) % sum(w), 0
+                while left >= w[j]:
+                    left, j = left - w[j], j + 1
+                pos, prev = near[pos][j][0], pos
+            else:
+                pos, prev = draw_value(2, JUMP, i, k) % g.nvertices, None
+            want.append((i, k + 1, pos))
+    assert sorted((r.walk_id, r.step, r.pos) for r in walk.paths(g, spec).collect()) == want
+
+
+def test_walks_run_until_none_has_hops_left(spark, sf, g):
+    spec = WalkSpec(60, 7, 0.15, seed=3)
+    want = {i: pos for i, k, pos in plain([tuple(r) for r in g.edges.select("src", "dst", "weight", "pos").collect()], g.nvertices, spec) if k == 7}
+    rows = walk.run_until_done(g, spec).collect()
+    assert {r.walk_id: r.pos for r in rows} == want and all(r.hop == 0 and r.step == 7 for r in rows)
+    uneven = walk.sources(g, spec).withColumn("hop", (F.col("walk_id") % 4).cast("int"))
+    rows = walk.run_until_done(g, spec, uneven).collect()
+    assert len(rows) == 60 and all(r.step == r.walk_id % 4 and r.hop == 0 for r in rows)
+
+
+def test_draws_reach_every_vertex(spark):
+    """Also of graphs with more than 2**32 vertices."""
+    assert max(draw_value(1, "s", i, 0) % 10**12 for i in range(200)) > 9 * 10**11
+    rows = spark.range(200).select((draw(1, "s", F.col("id"), F.lit(0)) % 10**12).alias("r")).collect()
+    assert [r.r for r in rows] == [draw_value(1, "s", i, 0) % 10**12 for i in range(200)]
+
+
 def test_empty_graph_has_no_walks(spark):
     g = structure.graph(spark.createDataFrame([], "src long, dst long, ord long"))
     with pytest.raises(ValueError):

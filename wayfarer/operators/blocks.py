@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.operators.structure import Graph, csr_offsets, out_degree
-from wayfarer.shared import written
+from wayfarer.shared import drop_written, written
 
 BLOCK_BYTES = 64 << 20
 DEFAULT_BUDGET = BLOCK_BYTES // 4
@@ -22,32 +22,44 @@ def greedy_starts(totals: np.ndarray, budget: int) -> list[int]:
     return starts
 
 
-def split_blocks(g: Graph, budget: int = DEFAULT_BUDGET) -> DataFrame:
+#: Vertices whose offsets the driver looks at together (16 bytes each).
+SEGMENT = 1 << 22
+
+
+def split_blocks(g: Graph, budget: int = DEFAULT_BUDGET, segment: int = SEGMENT) -> DataFrame:
     """blk, start_vert, nverts, start_edge, nedges.
 
-    Each cut depends on the one before. So the driver steps from cut to cut, and asks for each only
-    the last vertex that still fits: a block costs one pruned look at the offsets, and the driver holds
-    only blocks, never vertices.
+    Each cut depends on the one before. So the driver steps from cut to cut, over the written offsets of one
+    segment of vertices at a time: a job for each segment, whatever the number of blocks. It holds a segment and the blocks.
     """
     spark, n, edges = g.spark, g.nvertices, g.nedges
+    schema = "blk long, start_vert long, nverts long, start_edge long, nedges long"
     if not n:
-        return spark.createDataFrame([], "blk long, start_vert long, nverts long, start_edge long, nedges long")
+        return spark.createDataFrame([], schema)
     offsets = written(csr_offsets(g).select(F.col("id").alias("v"), F.col("beg_pos").alias("b")).repartitionByRange("v").sortWithinPartitions("v"), "offsets")
-    cuts: list[tuple[int, int]] = []
-    s, at = 0, 0
-    while s < n:
-        cuts.append((s, at))
-        if edges - at <= budget:
-            break
-        # beg_pos grows with the vertex: the last that fits is the largest within the budget.
-        fits = offsets.filter((F.col("v") > s) & (F.col("b") <= at + budget)).agg(F.max("v"), F.max("b")).first()
-        if fits[0] is None or fits[0] <= s:
-            s += 1
-            at = offsets.filter(F.col("v") == s).first().b if s < n else edges
-        else:
-            s, at = fits[0], fits[1]
-    rows = [(i, a, (cuts[i + 1][0] if i + 1 < len(cuts) else n) - a, e, (cuts[i + 1][1] if i + 1 < len(cuts) else edges) - e) for i, (a, e) in enumerate(cuts)]
-    return spark.createDataFrame(rows, "blk long, start_vert long, nverts long, start_edge long, nedges long")
+    verts, begins = [0], [0]
+    for low in range(0, n, segment):
+        high = min(low + segment, n)
+        found = offsets.filter((F.col("v") >= low) & (F.col("v") <= high)).toArrow()
+        b = np.empty(high - low + 1, np.int64)
+        b[-1] = edges  # stays only at the very end
+        b[found.column("v").to_numpy() - low] = found.column("b").to_numpy()
+        while True:
+            v = verts[-1]
+            # The last vertex that an open block may end before.
+            fits = low + int(np.searchsorted(b, begins[-1] + budget, "right")) - 1
+            after = max(v + 1, fits)
+            if after >= high:
+                # A hub of its own may end with the segment; all else is told by the next one.
+                if fits <= v and after == high and high < n:
+                    verts.append(after)
+                    begins.append(int(b[after - low]))
+                break
+            verts.append(after)
+            begins.append(int(b[after - low]))
+    drop_written(offsets)
+    ends, end_edges = [*verts[1:], n], [*begins[1:], edges]
+    return spark.createDataFrame([(i, v, e - v, x, y - x) for i, (v, e, x, y) in enumerate(zip(verts, ends, begins, end_edges))], schema)
 
 
 def block_ranges(starts: DataFrame, nvertices: int) -> DataFrame:

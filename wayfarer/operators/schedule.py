@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,44 @@ def choose(u: Column, share: float, by_hops: Column, by_walks: Column) -> Column
 def cached(counts: DataFrame, slots: DataFrame) -> DataFrame:
     """Counts of the blocks that have a slot."""
     return counts.join(slots, "blk", "left_semi")
+
+
+def finished(walks: DataFrame) -> bool:
+    """Whether no walk (hop) has hops left."""
+    return walks.filter("hop > 0").isEmpty()
+
+
+def migrations(placed: DataFrame) -> DataFrame:
+    """from_blk, to_blk, walks: how often walks (walk_id, step, blk) went from a block to another one."""
+    after = F.lead("blk").over(Window.partitionBy("walk_id").orderBy("step"))
+    moves = placed.select(F.col("blk").alias("from_blk"), after.alias("to_blk")).filter("to_blk <> from_blk")
+    return moves.groupBy("from_blk", "to_blk").agg(F.count("*").alias("walks"))
+
+
+def decide(counts: DataFrame, hops: DataFrame, slots: DataFrame, u: float, share: float) -> DataFrame:
+    """One decision of the state-aware scheduler: blk, slot, cached, evicted.
+
+    The block is chosen by hops if u < share, else by walks; block 0 if no walk is left. If it has a slot, that is used. Otherwise it
+    gets the slot that evict() names, and the block there (null if the slot was empty) goes.
+    """
+    spark = counts.sparkSession
+    by_hops, by_walks = max_hops_block(counts, hops).select("blk"), arg_max(counts, "nwalks").select("blk")
+    chosen = spark.range(1).join(by_hops if u < share else by_walks, how="left").select(F.coalesce("blk", F.lit(0)).cast("long").alias("blk"))
+    held = slots.select(F.col("slot").alias("has"), F.col("blk").alias("h_blk"))
+    lowest = chosen.join(held, chosen["blk"] == held["h_blk"], "left").groupBy("blk").agg(F.min("has").alias("has"))
+    victim = evict(slots, counts).select(F.col("slot").alias("v_slot"), F.col("blk").alias("v_blk"))
+    both = lowest.join(victim)
+    cached_ = F.col("has").isNotNull()
+    return both.select("blk", F.coalesce("has", "v_slot").alias("slot"), cached_.alias("cached"), F.when(~cached_, F.col("v_blk")).alias("evicted"))
+
+
+def refill(ranks: DataFrame, k: int) -> DataFrame:
+    """slot, blk: the rank scheduler's slots after a refill, the k blocks of largest rank in order of block."""
+    return top_ranked(ranks, k).select((F.row_number().over(Window.orderBy("blk")) - 1).cast("long").alias("slot"), "blk")
+
+
+def turn(slots: DataFrame, counts: DataFrame, ranks: DataFrame, at: int, k: int) -> tuple[DataFrame, int]:
+    """A turn of the rank scheduler: (slots, slot to run). Slots are refilled, and the turn begins anew, if no walk is left in them; else they come round robin."""
+    if cached(counts, slots).isEmpty():
+        slots, at = refill(ranks, k), 0
+    return slots, at % max(1, slots.count())

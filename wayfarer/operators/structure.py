@@ -1,7 +1,8 @@
 """Directed multigraphs as edges with a position among their source's neighbours.
 
 Vertices are 0 .. nvertices - 1; ids that no edge names have degree 0. Self-loops are dropped before
-vertices are counted. Equal edges are all kept.
+vertices are counted. Equal edges are all kept. A null or negative id is an error; a table without edges is a graph without
+vertices. Other columns than src, dst, weight and those of the order are left out.
 """
 
 from __future__ import annotations
@@ -58,12 +59,15 @@ def graph(edges: DataFrame, order: Sequence[str] = ("ord",), spread: bool = Fals
     share of all edges, they come from a sort of all edges by range instead.
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(None).cast("long")
-    kept = edges.filter("src <> dst")
+    # Bad ids are told when rows are made, not in the filter, which the optimizer may put before filters of the edges' own.
+    kept = edges.filter("src <> dst or src is null or dst is null")
+    bad = F.col("src").isNull() | F.col("dst").isNull() | (F.col("src") < 0) | (F.col("dst") < 0)
+    error = F.raise_error(F.lit("an edge needs two ids that are not negative")).cast("long")
     if spread:
         placed = _spread_positions(kept, order)
     else:
         placed = kept.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy(*order)).cast("long") - 1)
-    return Graph(placed.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), "pos"))
+    return Graph(placed.select(F.when(bad, error).otherwise(F.col("src").cast("long")).alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), "pos"))
 
 
 def _spread_positions(edges: DataFrame, order: Sequence[str]) -> DataFrame:

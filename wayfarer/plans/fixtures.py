@@ -26,6 +26,11 @@ def customer_part(spark: SparkSession, sf_dir: str) -> Graph:
     return graph(customer_part_edges(spark, sf_dir), LINE_ORDER)
 
 
+def customer_part_priced(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same edges with fractions as weights: price in thousands."""
+    return graph(customer_part_edges(spark, sf_dir).withColumn("weight", F.col("l_extendedprice") / 1000.0), LINE_ORDER)
+
+
 def event_transitions(spark: SparkSession, sf_dir: str) -> Graph:
     """Event types, with how often a user's next event is of another type as weight."""
     events = table(spark, sf_dir, "events")
