@@ -1,4 +1,9 @@
-"""From documents to training sequences: quality rules, near duplicates, personal data, packing."""
+"""From documents to training sequences: quality rules, near duplicates, personal data, packing.
+
+Every stage takes rows with nulls in any column, empty and very long texts and repeated rows, and columns beyond those of
+documents, whatever their names. A null or empty text fails the quality rules. Rows with a null doc_id are no near duplicates of
+others and are packed like others. Of repeated rows one stays. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm import jaccard, packing, pii, quality
 from wayfarer.llm.queries import table, vocabulary_file
-from wayfarer.shared import written
+from wayfarer.shared import delete, new_folder, passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +47,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written in the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage keeps is written in the shared folder and read by the next.
+
+    When a stage's rows are written, its own tables and the stage before's rows are deleted. Those of the last stage stay, as its result is
+    read from them.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        folder = new_folder(spark, name)
+        with passing(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(folder)
+        docs = spark.read.schema(kept.schema).parquet(folder)
+        if last:
+            delete(spark, last)
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders named since each passing() that is open began.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session.
@@ -24,7 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """URI of a folder of its own below the shared one; it is not made yet."""
-    return f"{shared_dir(spark)}/wayfarer/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/wayfarer/{label}-{uuid.uuid4().hex}"
+    for named in _open:
+        named.append(folder)
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders that are named within are deleted at the end: what was made from their tables must be written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for folder in _open.pop():
+            delete(spark, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this package has written in the shared folder."""
+    delete(spark, f"{shared_dir(spark)}/wayfarer")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -40,8 +69,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written(), when nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/wayfarer/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, folder)
