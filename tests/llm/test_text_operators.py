@@ -366,6 +366,13 @@ def test_field_on_lines_it_has_not_seen():
     assert right / n > 0.9
 
 
+def test_noise_is_left_alone(spark, sf, texts):
+    """Of the test table, junk with runs of marks included, hardly a document has a span that isn't planted behind a keyword."""
+    field = secrets.train()
+    odd = [t[a:b] for t in texts.values() if t for a, b in field.spans(t) if not re.search(r"(?i)(token|key|secret|pass\w*)\W{1,5}$", t[max(0, a - 20) : a])]
+    assert len(odd) <= 0.01 * len(texts), odd
+
+
 def test_every_token_may_be_secret():
     """All letters, all digits, short ones, and ones with other marks."""
     spans = lambda t: [t[a:b] for a, b in secrets.train().spans(t)]

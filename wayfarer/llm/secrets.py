@@ -44,13 +44,13 @@ KINDS = ("assign", "access", "hex", "secret")
 _NAMED = (b"password", b"passwd", b"secret", b"token", b"api")
 
 #: Lines that the field is trained on, and steps of the training.
-LINES, ROUNDS = 3000, 100
+LINES, ROUNDS = 2400, 80
 STATES = ("O", "B", "I")
 #: Words that speak for a secret nearby, in lower case.
 KEYWORDS = frozenset("password passwd pwd pass passphrase passcode pin secret token key apikey api_key auth authorization bearer basic credential credentials private access_key secret_key client_secret signature login".split())
 #: Tokens on the line before that may hold the keyword.
 NEAR = 6
-SLICE, MOST_ENTRIES = 1 << 20, 400_000
+SLICE, MOST_ENTRIES = 1 << 20, 1_200_000
 NEVER = -1e4
 
 
@@ -120,7 +120,7 @@ def _size(n: int) -> int:
 
 def _looks_spoken(low: str) -> bool:
     """Whether letters read like a word: vowels enough, and no long runs without one."""
-    vowels = sum(c in "aeiouyàâäáåæèéêëìíîïòóôöøùúûüœ" for c in low)
+    vowels = sum(c in "aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœ" for c in low)
     return 0.2 <= vowels / len(low) <= 0.75 and not re.search("[bcdfghjklmnpqrstvwxz]{5}", low)
 
 
@@ -128,8 +128,11 @@ def shape(token: str) -> list[str]:
     """Features of a token's own form."""
     if len(token) == 1 and not token.isalnum():
         return [f"mark:{token}"]
-    if token.isalpha() and (token[1:].islower() or len(token) == 1):
-        return ["letters", f"plain:{_size(len(token))}", f"spoken:{_looks_spoken(token.lower())}:{len(token) > 15}", f"first:{token[0].isupper()}"]
+    if token.isalpha() and (token[1:].islower() or token.isupper() or len(token) == 1):
+        cases = "capitals" if token.isupper() else "first" if token[0].isupper() else "small"
+        return ["letters", f"plain:{_size(len(token))}", f"spoken:{_looks_spoken(token.lower())}:{len(token) > 15}", f"plain cases:{cases}", f"plain cases:{cases}:{_size(len(token))}"]
+    if not token.isascii():  # letters by case, digits, and others
+        token = "".join(c if c.isascii() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "_" for c in token)
     digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
     marks = len(token) - digits - upper - lower
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
@@ -138,7 +141,7 @@ def shape(token: str) -> list[str]:
     form = "other"
     for name, pattern in (
         ("number", r"[0-9.]+"), ("date", r"\d{4}-\d\d-\d\d.*"), ("parts", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), ("version", r"[A-Za-z]?\d+(\.\d+)+([-+~].*)?"), ("dashed", r"([A-Za-z]+[-_])+[A-Za-z]*\d{0,5}"),
-        ("path", r".*/.*/.*|/.*|.*\.[a-z]{2,4}"), ("word_number", r"[A-Za-z]+[-_]?\d{1,4}"), ("number_word", r"\d+[A-Za-z]{1,4}"), ("camel", r"[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+"), ("capitals", r"[A-Z]+"),
+        ("path", r".*/.*/.*|/.*|.*\.[a-z]{2,4}"), ("word_number", r"[A-Za-z]+[-_]?\d{1,4}"), ("number_word", r"\d+[A-Za-z]{1,4}"), ("camel", r"[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+"), ("capitals", r"[A-Z_-]+"),
     ):
         if re.fullmatch(pattern, token):
             form = name
@@ -356,7 +359,7 @@ def in_code_points(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def lines_by_rule(n: int = LINES, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Lines, with the places of their secrets: {} in a template stands for one, {w} for a word, {x} for something harmless."""
+    """Lines, with the places of their secrets: {} in a template stands for one, {w} for a word, {x} for something harmless, {z} for noise."""
     r = random.Random(seed)
     upper, lower, digits, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!@#$%^&*?"
     beginnings, middles, ends = ("b br c d f g gr h l m n p pr r s st t tr v w".split() + [""], "a e i o u ai ea ou io".split(), "n r s t l nd nt lk ng".split() + [""] * 4)
@@ -378,6 +381,15 @@ def lines_by_rule(n: int = LINES, seed: int = 7) -> Iterator[tuple[str, list[tup
         s = "".join({"a": "@", "s": "$", "o": "0", "e": "3", "i": "1"}.get(c, c) if r.random() < 0.6 else c for c in s)
         return s.capitalize() + chars(digits, r.randint(0, 3)) + r.choice(marks)
 
+    def noise() -> str:
+        """Words and runs of marks, as in markup, code and junk."""
+        out = []
+        for _ in range(r.randint(2, 7)):
+            run = r.choice("#$%&*!@^~=|<>_-+?/") * r.choice((1, 1, 2, 3, 3, 4))
+            w = r.choice((word(), word(), word().capitalize(), chars(digits, r.randint(1, 3))))
+            out.append(r.choice((w + run, w + run, run + w, run, w, run + w + run)) + r.choice(("", "", "", ",", ".", ":")))
+        return " ".join(out).upper() if r.random() < 0.2 else " ".join(out)
+
     alnum = upper + lower + digits
     strong = [  # told by their form, wherever they stand
         lambda: both(alnum + "+/", r.choice((24, 32, 40, 44))),
@@ -430,12 +442,15 @@ def lines_by_rule(n: int = LINES, seed: int = 7) -> Iterator[tuple[str, list[tup
     plain = [
         "{w} {w} {x} {w} {w}", "{w}: {x}", "{w} = {x};", "({x}) {w}", "{w} {x}", "{x}, {w}, {w}", "{w} | {x} | {w}", "key {w} {w} {x}", "{w} version {x}", "id={x}", "{x}", "{w} {w} {w}. {W} {w} {w}, {w} {w} {w} {w}.", "{W} {w} {w} {w}", "{w}, {w} {w}; {w} {w}?", "the key {w} {w} {w}", "a private {w} {w}", "pass the {w} {w}",
         "login {w} {w} page", "{w} signature {w} on {x}", "access key {w} {w}", "{w} {w} pin {w} {w}", "credentials {w} {w} {x}", "bearer of {w} {w}", "{W} {w} auth {w}.", "basic {w} {w} {w}", "pin {w} to {w}", "{w}.{w}({w}, {x})", "if ({w} == {x}) {{ {w} = {w}; }}", "the pwd {w} {w} {w}", "{w} pass {w} {w}, {w}", "keyword {w}: {w}", "{x} {x}", "{w}! {w}? {w} - {w}",
+        "{z}", "{z}", "{z}", "{w} {z}", "{z} {w} {w}", "{W} {w}. {z}", "{w} = {z}", "key {z}", "the pass {z}", "{w}: {z}", "| {w} | {x} | {z} |",
     ]
     for i in range(n):
         if i % 2 == 0:
             text, what = (r.choice(told), r.choice(strong + weak + weak)()) if i % 4 == 0 or r.random() < 0.3 else (r.choice(untold), r.choice(strong)())
         else:
             text, what = r.choice(plain), None
+        while "{z}" in text:
+            text = text.replace("{z}", noise(), 1)
         while "{x}" in text:
             text = text.replace("{x}", r.choice(harmless)(), 1)
         while "{w}" in text:
