@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_limits, batches_of, unused, with_group_figures, written
+from .common import WORD, arrow_limits, batches_of, release, unused, with_group_figures, written
 
 SYMBOLS = "#*$%&|<>"
 #: Severity that a host's verdict allows its documents.
@@ -78,6 +78,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *[(f, pa.int64()) for f in FIGURES]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        release()
         for batch in batches:
             for doc_id, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 yield doc_id, name, *figures_of(text.as_py())
@@ -182,6 +183,7 @@ def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     at = docs.columns.index("text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             good = [passes(text.as_py(), limit) for text, limit in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist())]
             yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(good, pa.bool_()))
