@@ -4,8 +4,8 @@ A document longer than the capacity is cut into pieces of the capacity; what is
 piece. Whole pieces are sequences of their own. The others are packed best-fit, longest first, in
 each partition. Bins that are nearly full are done; the others, as items of their whole fill, are
 dealt to fewer partitions and packed best-fit again, until one partition holds what is left. Where
-that would be more than a task should hold, rounds go on until they hardly save bins any more; each
-task then still packs many thousands of bins, so at most a bin in each is ill filled.
+that would be more than a task should hold, bins are dealt anew from round to round until a round saves
+none. Every other round saves a bin at least, so rounds come to an end.
 
 Null texts count as empty: the end id alone. Null and repeated doc_ids are packed like others. An
 empty table gives no row.
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, release, written
+from .common import arrow_limits, written
 from .tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,7 +46,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cuts: st
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         encode = encoder(tokenizer, cuts).encode_with_end
         for batch in batches:
             ids, offsets = encode(batch.column(1), end_id)
@@ -109,7 +108,7 @@ def pack_round(items: DataFrame, capacity: int, number: int, nearly: int, parts:
         back = np.empty(len(heads), np.int64)
         back[by_size] = np.arange(len(heads))
         new, offset, room = new[back][item], offset[back][item], np.array(room, np.int64)
-        name = (np.int64(number) << np.int64(56)) | (np.int64(TaskContext.get().partitionId()) << np.int64(32))
+        name = (np.int64(number) << np.int64(48)) | (np.int64(TaskContext.get().partitionId()) << np.int64(28))
         cols = {"bin": new + name, "at": at + offset, "fill": capacity - room[new], "done": room[new] <= nearly}
         for c, values in cols.items():
             table = table.set_column(columns.index(c), c, pa.array(values)) if c in columns else table.append_column(c, pa.array(values))
@@ -136,7 +135,7 @@ def pack(cut_pieces: DataFrame, capacity: int, nearly: int | None = None, per_ta
         packed = written(pack_round(items, capacity, number, nearly, parts), f"round{number}")
         figures = packed.filter("not done").agg(F.count("*"), F.sum((F.col("at") == 0).cast("long"))).first()
         left, now = figures[0], figures[1] or 0
-        last = parts == 1 or not left or number > 40 or (bins is not None and number > 3 and now > 0.98 * bins and parts == max(1, -(-left // per_task)))
+        last = parts == 1 or not left or (bins is not None and now >= bins and parts == max(1, -(-left // per_task)))
         over = packed if last else packed.filter("done")
         done = done.unionByName(over.select(*PIECE.replace(",", "").split()[::2], F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
         if last:

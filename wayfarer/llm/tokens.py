@@ -19,7 +19,7 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 
-from .common import CACHES
+from .common import CACHES, release
 
 #: Where whole texts may be cut. "word": the tokenizer drops white space. "byte": a run of white
 #: space belongs to what follows it, and a chunk starts at such a run after something else.
@@ -104,7 +104,7 @@ class ChunkEncoder(dict):
 
 
 #: Bytes of text worked on at a time; entries and ids that a table holds before it is emptied.
-SLICE, MOST_ENTRIES, MOST_IDS = 1 << 20, 1_200_000, 1 << 22
+SLICE, MOST_ENTRIES, MOST_IDS = 1 << 20, 700_000, 1 << 22
 _U = np.uint64
 
 
@@ -155,11 +155,11 @@ class ChunkTable:
     def add(self, low: np.ndarray, high: np.ndarray, entry: np.ndarray) -> None:
         """Add chunks that are not there, each once."""
         self.n += len(entry)
-        if 2 * self.n > len(self.entry):
+        if self.n > 0.7 * len(self.entry):
             held = self.entry >= 0
             low, high, entry = (np.concatenate([a[held], b]) for a, b in ((self.low, low), (self.high, high), (self.entry, entry)))
             slots = len(self.entry)
-            while 2 * self.n > slots:
+            while self.n > 0.7 * slots:
                 slots *= 2
             self._make(slots)
         at, left = self._slot(low, high), np.arange(len(entry))
@@ -310,9 +310,10 @@ class BatchEncoder:
         return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, cuts: str) -> BatchEncoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, over all tasks that it runs; what other operators left there goes first."""
+    release()
     return BatchEncoder(path, cuts)
 
 
