@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches_of, release
+from .common import CACHES, arrow_limits, batches_of, release
 from .tokens import ChunkTable
 
 #: Fixed patterns of the contract; {16,} and {24,} are its lengths, as the runs are maximal.
@@ -50,7 +51,7 @@ STATES = ("O", "B", "I")
 KEYWORDS = frozenset("password passwd pwd pass passphrase passcode pin secret token key apikey api_key auth authorization bearer basic credential credentials private access_key secret_key client_secret signature login".split())
 #: Tokens on the line before that may hold the keyword.
 NEAR = 6
-SLICE, MOST_ENTRIES = 1 << 20, 1_200_000
+SLICE, MOST_ENTRIES = 1 << 20, 700_000
 NEVER = -1e4
 
 
@@ -248,10 +249,11 @@ class Field:
 
     def __init__(self, own: dict[str, np.ndarray], context: dict[str, np.ndarray], moves: np.ndarray):
         self.own, self.context, self.moves = own, context, moves
+        self.name = hashlib.md5(pickle.dumps((own, context, moves))).hexdigest()
         self._lexicon: Lexicon | None = None
 
-    def __getstate__(self):
-        return {"own": self.own, "context": self.context, "moves": self.moves, "_lexicon": None}
+    def __reduce__(self):
+        return _known_field, (self.name, self.own, self.context, self.moves)
 
     @property
     def lexicon(self) -> Lexicon:
@@ -348,6 +350,18 @@ class Field:
         return in_code_points(raw, self.batch_spans([raw])[0])
 
 
+#: The field of a Python worker, over all tasks that it runs, with the tokens that it knows.
+_fields: dict[str, Field] = {}
+CACHES.append(_fields.clear)
+
+
+def _known_field(name: str, own: dict[str, np.ndarray], context: dict[str, np.ndarray], moves: np.ndarray) -> Field:
+    if name not in _fields:
+        release()
+        _fields[name] = Field(own, context, moves)
+    return _fields[name]
+
+
 def in_code_points(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans in bytes of a text in UTF-8, in code points."""
     out, at, n = [], 0, 0
@@ -547,7 +561,6 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or train()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        release()
         for batch in batches:
             texts = [value.as_py() or "" for value in batch.column(1)]
             raws = [text.encode() for text in texts]
