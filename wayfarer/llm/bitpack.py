@@ -12,7 +12,7 @@ Any range of ids is read by fetching only the blocks that hold it; unpacking wor
 columns. Ids that don't fit the width are refused.
 
 Null doc_ids come first, with null kept; null texts count as empty (the end id alone); repeated
-doc_ids are each written, in order of their texts. An empty table gives no shard and no row.
+doc_ids, null ones too, are each written, in order of a hash of their texts, and may take several shards. An empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -183,7 +183,8 @@ def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int |
             sink.close()
             yield to_batch([(shard, uri, len(writer.doc_ids), writer.starts[-1])], schema)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     manifest = written(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "ids-manifest")
     # One row a shard: the window holds as many rows as there are files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

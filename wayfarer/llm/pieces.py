@@ -41,7 +41,7 @@ from .common import CACHES, arrow_limits, batches_of
 MARK = "▁"
 SHIFT = 20.0
 #: Chunks kept in each of two generations of the cache; longer ones than KEPT_CHARS are not. N best kept.
-KEPT, KEPT_CHARS, KEPT_WAYS = 500_000, 64, 20_000
+KEPT, KEPT_CHARS, KEPT_WAYS = 700_000, 64, 20_000
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 #: Marks before which a chunk that ends in a letter also ends, unless some piece joins the two.
 ENDS = ",.;:!?|"

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table over as many partitions as there are cores, if it has fewer row groups: small tables lie in one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def vocabulary_file(name: str) -> str:
     import public_tokenizers
 
@@ -29,7 +35,7 @@ def vocabulary_file(name: str) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digest
 
-    return digest(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"), n=4)
+    return digest(dealt(table(spark, sf_dir, "documents")), vocabulary_file("piece_bpe_32k.model"), n=4)
 
 
 @query
@@ -51,14 +57,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import report
 
-    return report(table(spark, sf_dir, "documents"))
+    return report(dealt(table(spark, sf_dir, "documents")))
 
 
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severity", "host_rate", "host_verdict")
+    return judge(dealt(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severity", "host_rate", "host_verdict")
 
 
 @query
@@ -80,14 +86,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(dealt(table(spark, sf_dir, "documents")))
 
 
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, pieces
 
-    cut = pieces(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    cut = pieces(dealt(table(spark, sf_dir, "documents")), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
     return pack(cut, capacity=2048)
 
 
@@ -95,7 +101,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import clusters
 
-    return clusters(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return clusters(dealt(table(spark, sf_dir, "documents")), k=4, num=85, den=100)
 
 
 @query
@@ -103,7 +109,7 @@ def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document; all links are found for it."""
     from .jaccard import join
 
-    return join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)[1]
+    return join(dealt(table(spark, sf_dir, "documents")), k=4, num=85, den=100)[1]
 
 
 #: Base 32 of a SHA-1: four letters for each five hex digits.
