@@ -165,3 +165,21 @@ def test_text_and_parquet_round_trips(spark, sf, tmp_path):
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = structure.sinks_out(customer_part(spark, sf))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint" in plan and "l_comment" not in plan
+
+
+def test_passing_tables_are_deleted(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from wayfarer import shared
+
+    file = lambda df: urlparse(df.inputFiles()[0]).path
+    stays = shared.written(spark.range(5), "stays")
+    with shared.passing(spark):
+        goes = shared.written(stays.select("id"), "goes")
+        path = file(goes)
+        assert goes.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path) and stays.count() == 5
+    path = file(stays)
+    shared.drop_written(stays)
+    assert not os.path.exists(path)

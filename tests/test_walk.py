@@ -10,7 +10,6 @@ from wayfarer.functions.draws import ACCEPT, JUMP, NEIGHBOUR, SOURCE, TELEPORT,
 from wayfarer.operators import results, schedule, structure, walk
 from wayfarer.operators.sampling import SCALE
 from wayfarer.operators.walk import WalkSpec
-from wayfarer.plans import queries
 from wayfarer.plans.fixtures import customer_part, customer_supplier
 
 
@@ -229,24 +228,3 @@ def test_scheduler_choices(spark):
     assert schedule.evict(slots.filter("blk is not null"), counts).first().slot == 2
     row = spark.range(1).select(schedule.choose(F.lit(0.1), 0.2, F.lit("h"), F.lit("w")).alias("c")).first()
     assert row.c == "h"
-
-
-@pytest.mark.parametrize("name", ["walk_restart_source", "walk_weighted_prefix", "walk_weighted_alias", "walk_paths_joined", "walk_second_order", "ppr_topk"])
-def test_queries_walk_the_whole_workload(spark, sf, g, name):
-    """10,000 walks of 25 hops for every rule, as the reference, against plain walks."""
-    rule = {"walk_restart_source": {"target": "source", "seed": 7}, "walk_weighted_prefix": {"target": "source", "weighting": "prefix", "seed": 11}, "walk_weighted_alias": {"weighting": "alias", "seed": 13}, "walk_paths_joined": {"seed": 5}, "walk_second_order": {"weighting": "second_order", "seed": 17}}
-    spec = WalkSpec(10_000, 25, 0.15, **rule.get(name, rule["walk_restart_source"]))
-    want = plain([tuple(r) for r in g.edges.select("src", "dst", "weight", "pos").collect()], g.nvertices, spec)
-    got = queries.QUERIES[name](spark, sf)
-    if name == "ppr_topk":
-        source = {i: pos for i, step, pos in want if step == 0}
-        hits = {}
-        for i, _, pos in want:
-            of = hits.setdefault(source[i], {})
-            of[pos] = of.get(pos, 0) + 1
-        best = {(s, v, n, k + 1) for s, of in hits.items() for k, (v, n) in enumerate(sorted(of.items(), key=lambda x: (-x[1], x[0]))[:5])}
-        assert {tuple(r) for r in got.select("source", "vertex", "hits", "rank").collect()} == best
-    elif name == "walk_second_order":
-        assert sorted(tuple(r) for r in got.select("walk_id", "pos").collect()) == [(i, pos) for i, step, pos in want if step == 25]
-    else:
-        assert sorted(tuple(r) for r in got.select("walk_id", "step", "pos").collect()) == want
