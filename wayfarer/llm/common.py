@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
-__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "shared_dir", "to_batch", "unused", "with_group_figures", "written"]
+__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "rows_per_batch", "shared_dir", "to_batch", "trim", "unused", "with_group_figures", "written"]
 
 #: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,6 +36,11 @@ def release() -> None:
     """Empty operators' caches, and give memory that nothing uses any more back to the system: workers live on after a task."""
     for clear in CACHES:
         clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that nothing uses any more back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries
@@ -55,6 +60,18 @@ def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of fewer rows, for what is executed within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(kept)) if int(kept) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, kept)
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Gather tuples into record batches."""
     held: list[tuple] = []

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import arrow_limits, drop_written, free_shuffles, release, unused, with_group_figures, written
+from .common import arrow_limits, drop_written, free_shuffles, release, rows_per_batch, unused, with_group_figures, written
 
 #: Ids that are broadcast to choose documents; beyond, they meet the documents in a shuffle.
 BROADCAST_IDS = 500_000
@@ -439,9 +439,10 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     """
     passing: dict[str, DataFrame] = {}
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        """Write a table; the last one of this label goes."""
-        table = written(df, label)
+    def keep(df: DataFrame, label: str, rows: int = 2000) -> DataFrame:
+        """Write a table; the last one of this label goes. rows: of an Arrow batch, fewer where rows hold whole sets."""
+        with rows_per_batch(docs.sparkSession, rows):
+            table = written(df, label)
         if label in passing:
             drop_written(passing[label])
         passing[label] = table
@@ -473,11 +474,11 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     pivots = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("top"), F.count("*").alias("left")).filter("left > 1")
     base = keep(members.join(pivots.select("key", F.col("top.id").alias("top"), F.col("top.n").alias("top_n")), "key"), "apart")
     drop_written(passing.pop("members"))
-    sets = keep(sets_of(reps, keep(base.select("id").distinct(), "ids"), k), "grams")
+    sets = keep(sets_of(reps, keep(base.select("id").distinct(), "ids"), k), "grams", rows=500)
     fit = _sizes_fit("n", "top_n", num, den)
     spokes = base.filter((F.col("id") != F.col("top")) & fit).groupBy("id", "top").count().groupBy("id").agg(F.max_by("top", F.struct("count", -F.col("top"))).alias("top"))
     tried = keep(spokes.select(F.col("top").alias("a"), F.col("id").alias("b")), "pairs0")
-    links = keep(verify(tried, sets, num, den), "found0")
+    links = keep(verify(tried, sets, num, den), "found0", rows=500)
     repeats = classes.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     for number, step in enumerate(("pivot", "pivot", "all"), 1):
         free_shuffles(docs.sparkSession)
@@ -494,7 +495,7 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
         else:
             pairs = rare_pairs(keep(base.groupBy("id").agg(F.min("comp").alias("comp")), "left"), sets, num, den)
         pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{number}")
-        links, tried = links.unionByName(keep(verify(pairs, sets, num, den), f"found{number}")), tried.unionByName(pairs)
+        links, tried = links.unionByName(keep(verify(pairs, sets, num, den), f"found{number}", rows=500)), tried.unionByName(pairs)
     comps = components(links.unionByName(repeats))
     for table in passing.values():  # all that is needed of them is in comps
         drop_written(table)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, written
+from .common import arrow_limits, rows_per_batch, written
 from .tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,7 +125,8 @@ def pack(cut_pieces: DataFrame, capacity: int, nearly: int | None = None, per_ta
     capacity. per_task: pieces that one task may hold.
     """
     nearly = capacity // 256 if nearly is None else nearly
-    source = written(cut_pieces, "pieces")
+    with rows_per_batch(cut_pieces.sparkSession, 500):  # whole texts
+        source = written(cut_pieces, "pieces")
     done = source.filter(F.col("length") >= capacity).select(*PIECE.replace(",", "").split()[::2], F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = source.filter(F.col("length") < capacity).select("*", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("at"), F.col("length").alias("fill"))
     left, bins = items.count(), None

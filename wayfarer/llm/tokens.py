@@ -19,7 +19,7 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 
-from .common import CACHES, release
+from .common import CACHES, release, trim
 
 #: Where whole texts may be cut. "word": the tokenizer drops white space. "byte": a run of white
 #: space belongs to what follows it, and a chunk starts at such a run after something else.
@@ -104,7 +104,7 @@ class ChunkEncoder(dict):
 
 
 #: Bytes of text worked on at a time; entries and ids that a table holds before it is emptied.
-SLICE, MOST_ENTRIES, MOST_IDS = 1 << 20, 700_000, 1 << 22
+SLICE, MOST_ENTRIES, MOST_IDS = 1 << 18, 700_000, 1 << 22
 _U = np.uint64
 
 
@@ -314,7 +314,9 @@ class BatchEncoder:
 def encoder(path: str, cuts: str) -> BatchEncoder:
     """One encoder for each Python worker, over all tasks that it runs; what other operators left there goes first."""
     release()
-    return BatchEncoder(path, cuts)
+    made = BatchEncoder(path, cuts)
+    trim()  # reading the vocabulary takes more than holding it
+    return made
 
 
 CACHES.append(encoder.cache_clear)
