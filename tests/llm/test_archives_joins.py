@@ -2,10 +2,12 @@
 
 import base64
 import collections
+import glob
 import hashlib
 import io
 import random
 import re
+import time
 import zipfile
 
 import pyarrow as pa
@@ -187,6 +189,31 @@ def test_components_without_broadcasts(spark, monkeypatch):
     assert {r.doc_id for r in jaccard.keep_first(df).collect()} == {c for _, c in want.values()}
 
 
+def test_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """The index's are larger than all else: they must be gone before the next table is made."""
+    local = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    write, labels = jaccard.written, set()
+
+    def files():
+        return {f for d in local for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    def watched(df, label):
+        before, made = files(), write(df, label)
+        deadline = time.time() + 5  # Spark deletes them on the side
+        while files() - before and time.time() < deadline:
+            time.sleep(0.05)
+        assert not files() - before, label
+        labels.add(label)
+        return made
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows, kept = near_copies()[:80], spark.conf.get(key)
+    got = jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {"classes", "buckets", "members", "apart"} <= labels
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5, 80, 100) and spark.conf.get(key) == kept
+
+
 def test_histograms_never_drop_a_link():
     import numpy as np
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.shared import drop_written, new_folder, shared_dir, written
 
-__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "rows_per_batch", "shared_dir", "to_batch", "trim", "unused", "with_group_figures", "written"]
+__all__ = ["CACHES", "arrow_limits", "batches_of", "drop_written", "free_shuffles", "new_folder", "open_store", "release", "rows_per_batch", "shared_dir", "shuffles_end", "to_batch", "trim", "unused", "with_group_figures", "written"]
 
 #: Characters that count as white space in this package's word rules: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +72,22 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, kept)
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that is executed within are deleted when it ends.
+
+    Else they stay until the driver's garbage is collected, and those of the last query longer: Spark's listeners hold its plan until
+    there is another.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, kept)
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Gather tuples into record batches."""
     held: list[tuple] = []

@@ -42,7 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import arrow_limits, drop_written, free_shuffles, release, rows_per_batch, unused, with_group_figures, written
+from .common import arrow_limits, drop_written, free_shuffles, release, rows_per_batch, shuffles_end, unused, with_group_figures
+from .common import written as stored
 
 #: Ids that are broadcast to choose documents; beyond, they meet the documents in a shuffle.
 BROADCAST_IDS = 500_000
@@ -58,6 +59,12 @@ _U = np.uint64
 _ODD = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder; the shuffle files that it took go when it is there."""
+    with shuffles_end(df.sparkSession):
+        return stored(df, label)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers one to one."""
     x = (x ^ (x >> _U(33))) * _ODD[5]
@@ -457,7 +464,6 @@ def clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, large:
     total = classes.filter("rep = doc_id").agg(F.sum("n")).first()[0] or 0
     live = keep(index(reps, k, num, den, max(8, int(total * 2.4 * (den - num) / num) // PART_KEYS + 1)), "buckets")
 
-    free_shuffles(docs.sparkSession)  # the index was the largest
     # All rows of live buckets, each with its bucket's size.
     heads = live.filter("size is not null")
     whole = heads.groupBy("key").agg(F.max("size").alias("all"))
